@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import attach, null_safe_join
+from furrow.functions.keys import attach, complete, null_safe_join
 from furrow.operators.quantiles import iqr
 
 
@@ -18,7 +18,7 @@ def drop_sentinel(df: DataFrame, col: str, value: float = -9999.0) -> DataFrame:
 
 def model_rows(df: DataFrame, y: str, features: Sequence[str]) -> DataFrame:
     """Rows a model can use: complete features, response present and not zero."""
-    return df.dropna(subset=[y, *features]).where(F.col(y) != 0)
+    return complete(df, [y, *features]).where(F.col(y) != 0)
 
 
 def rows_with_missing(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:

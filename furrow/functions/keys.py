@@ -51,6 +51,20 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "in
     ).drop("__scalars")
 
 
+def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
+    """Rows without null or NaN in the columns.
+
+    One predicate per column: ``dropna`` tests all columns in a single expression, and
+    the optimiser then derives a variant of it for every subset of renamed columns.
+    """
+    tests = []
+    for c in dict.fromkeys(cols):
+        tests.append(F.col(c).isNotNull())
+        if df.schema[c].dataType.typeName() in ("double", "float"):
+            tests.append(~F.isnan(c))
+    return df.where(reduce(lambda a, b: a & b, tests))
+
+
 # Added before rounding: exact decimals that end in 5 (a price over 16 items) lie on
 # a rounding edge, where the last bit of a sum would decide. Far below every digit kept.
 ROUNDING_NUDGE = 1.7320508e-8

@@ -15,7 +15,7 @@ from math import ceil, log2
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import attach, null_safe_join
+from furrow.functions.keys import attach, complete, null_safe_join
 from furrow.operators.trend import orthogonal_solve
 
 # Share of the range added on both ends.
@@ -46,7 +46,7 @@ def loess_trend(
     keys = list(keys)
     if not 0 < span <= 1:
         raise ValueError("span must be in (0, 1]")
-    valid = df.dropna(subset=[x, y])
+    valid = complete(df, [x, y])
     points = valid.groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(
         F.count(F.lit(1)).alias("__w"), F.avg(y).alias("__y")
     )

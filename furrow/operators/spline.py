@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.filters import drop_flat_series, min_group_size
-from furrow.functions.keys import null_safe_join
+from furrow.functions.keys import complete, null_safe_join
 
 
 def knot_count(m: int) -> int:
@@ -99,7 +99,7 @@ def spline_trend(
     at most the length of the time axis; a task sees only that.
     """
     keys = list(keys)
-    valid = df.dropna(subset=[x, y])
+    valid = complete(df, [x, y])
     usable = drop_flat_series(min_group_size(valid, keys, more_than), keys, y)
     points = usable.groupBy(*keys, F.col(x).cast("double").alias("__x")).agg(
         F.count(F.lit(1)).cast("double").alias("__w"),

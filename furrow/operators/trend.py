@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.columns import separate
-from furrow.functions.keys import attach
+from furrow.functions.keys import attach, complete
 from furrow.operators.aggregates import group_mean_all
 
 METHOD_OF_DEGREE = {1: "lin", 2: "quad", 3: "cub"}
@@ -64,8 +64,8 @@ def poly_coefficients(df: DataFrame, keys: Sequence[str], x: str, y: str, degree
     x is centred and scaled inside each series first, otherwise the cubic normal
     matrix of calendar years has no precision left.
     """
-    rows = df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")).dropna(
-        subset=["__x", "__y"]
+    rows = complete(
+        df.select(*keys, F.col(x).cast("double").alias("__x"), F.col(y).cast("double").alias("__y")), ["__x", "__y"]
     )
     centre = rows.groupBy(*keys).agg(
         F.avg("__x").alias("__cx"),
@@ -134,7 +134,7 @@ def poly_trend(
     ``diagnostics`` adds sigma, hat, se_fit, std_resid and cooksd.
     """
     model = poly_coefficients(df, keys, x, y, degree)
-    rows = _terms(attach(df.dropna(subset=[x, y]), model, keys), x, degree)
+    rows = _terms(attach(complete(df, [x, y]), model, keys), x, degree)
     out = rows.withColumns({"fitted": _fit_at(degree), "aic": F.col(f"__aic{degree}")}).withColumn(
         "resid", F.col(y) - F.col("fitted")
     )
@@ -169,7 +169,7 @@ def polynomial_trends(
     """
     top = max(degrees)
     rows = _terms(
-        attach(df.dropna(subset=[x, y]), poly_coefficients(df, keys, x, y, top), keys), x, top
+        attach(complete(df, [x, y]), poly_coefficients(df, keys, x, y, top), keys), x, top
     )
     rows = rows.withColumns({f"__f{d}": _fit_at(d) for d in degrees})
     branch = lambda name, f, a: F.struct(F.lit(name).alias("method"), f.alias("fitted"), a.alias("aic"))

@@ -97,7 +97,7 @@ def weather_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Modelling table: one row per department, year and month.
 
-    Outcome ``yield`` and its log, four weather features, ``area`` as weight.
+    Outcome ``yield`` and its log, weather features, ``area`` as weight.
     """
     return (
         _by_nation(spark, sf_dir)
@@ -111,5 +111,5 @@ def month_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
             (F.avg("l_extendedprice") / 1000).alias("PR"),
             (100 * F.avg("l_tax")).alias("ETP"),
         )
-        .withColumn("log_yield", F.log("yield"))
+        .withColumns({"log_yield": F.log("yield"), "gap": F.col("Tx") - F.col("Tn")})
     )

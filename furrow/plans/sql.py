@@ -119,3 +119,58 @@ lg AS (SELECT {keys}, j, vx, (y0*(s2*s4-s3*s3) - s1*(y1*s4-s3*y2) + s2*(y1*s3-s2
 lk AS (SELECT *, lead(vx) OVER s AS vx1, lead(b) OVER s AS b1, lead(g) OVER s AS g1 FROM lg WINDOW s AS (PARTITION BY {keys} ORDER BY j)),
 le AS (SELECT {ks('lr')}, lr.x, lr.y, (lr.x - vx) / (vx1 - vx) AS t, vx1 - vx AS wd, b, b1, g, g1 FROM lr JOIN lk ON {j('lr', 'lk')} AND lr.x > vx AND lr.x <= vx1),
 lo AS (SELECT {keys}, x, y, (1-t)*(1-t)*(1+2*t)*b + t*t*(3-2*t)*b1 + t*(1-t)*(1-t)*wd*g - t*t*(1-t)*wd*g1 AS fitted FROM le)"""
+
+
+def ols_sql(prefix: str, source: str, part: str, xs: list[str], y: str, w: str = "1.0") -> str:
+    """CTEs ending in ``{prefix}_fit``: weighted least squares by stepwise projection.
+
+    Adds ``pred`` to every row of the source; rows of weight 0 are predicted only.
+    """
+    over = f"OVER (PARTITION BY {part})" if part else "OVER ()"
+    p = len(xs)
+    mean = lambda e: f"sum(({w}) * {e}) {over} / sum({w}) {over}"
+    steps = [
+        f"{prefix}0 AS (SELECT *, {', '.join(f'{x} - {mean(x)} AS z{i}' for i, x in enumerate(xs))}, {y} - {mean(y)} AS vv, {mean(y)} AS my FROM {source})"
+    ]
+    for j in range(p - 1):
+        proj = lambda i: f"z{i} - sum(({w}) * z{i} * z{j}) {over} / sum(({w}) * z{j} * z{j}) {over} * z{j} AS z{i}"
+        keep = f"* EXCLUDE ({', '.join(f'z{i}' for i in range(j + 1, p))})"
+        steps.append(f"{prefix}{j + 1} AS (SELECT {keep}, {', '.join(proj(i) for i in range(j + 1, p))} FROM {prefix}{j})")
+    terms = " + ".join(f"sum(({w}) * vv * z{j}) {over} / sum(({w}) * z{j} * z{j}) {over} * z{j}" for j in range(p))
+    steps.append(f"{prefix}_fit AS (SELECT *, my + {terms} AS pred FROM {prefix}{p - 1})")
+    return ",\n".join(steps)
+
+
+def fold_sql(block: str, cuts, salt: int = 42) -> str:
+    u = uniform(f"CAST({block} AS VARCHAR)", salt)
+    return "CASE " + " ".join(f"WHEN {u} <= {c} THEN 'Y{i}'" for i, c in enumerate(cuts, 1)) + " END"
+
+
+def gof_sql(source: str, keys: str, s: str, o: str, digits: int = 6, series: str | None = None, order: str | None = None) -> str:
+    """Full statement after the CTEs: the whole battery per key."""
+    k = f"{keys}, " if keys else ""
+    over = f"OVER (PARTITION BY {keys})" if keys else "OVER ()"
+    lag = f", lag(o) OVER (PARTITION BY {k}{series} ORDER BY {order}) AS p" if order else ""
+    cp = (
+        ", " + r("1 - sum(CASE WHEN p IS NOT NULL THEN pow(o - s, 2) END) / sum(pow(o - p, 2))", '"cp"', digits) if order else ""
+    )
+    group = f"GROUP BY {keys}" if keys else ""
+    extra = ", ".join(dict.fromkeys([c for c in ([*(series or "").split(","), order or ""]) if c.strip() and c not in keys]))
+    extra = f", {extra}" if extra else ""
+    col = lambda e, n: r(e, f'"{n}"', digits)
+    b = "(abs(sum(s * o) / sum(o * o)))"
+    r2 = "pow(corr(s, o), 2)"
+    return f"""
+SELECT {k}count(*) AS n, {', '.join([
+ col('avg(s - o)', 'ME'), col('avg(abs(s - o))', 'MAE'), col('avg(pow(s - o, 2))', 'MSE'), col('sqrt(avg(pow(s - o, 2)))', 'RMSE'),
+ col('100 * sqrt(avg(pow(s - o, 2))) / stddev_samp(o)', 'NRMSE'), col('100 * sum(s - o) / sum(o)', 'PBIAS'),
+ col('sqrt(avg(pow(s - o, 2))) / stddev_samp(o)', 'RSR'), col('stddev_samp(s) / stddev_samp(o)', 'rSD'),
+ col('1 - sum(pow(o - s, 2)) / sum(pow(o - mo, 2))', 'NSE'), col('1 - sum(abs(o - s)) / sum(abs(o - mo))', 'mNSE'),
+ col('1 - sum(pow((o - s) / o, 2)) / sum(pow((o - mo) / mo, 2))', 'rNSE'),
+ col('1 - sum(pow(o - s, 2)) / sum(pow(abs(s - mo) + abs(o - mo), 2))', 'd'),
+ col('1 - sum(abs(o - s)) / sum(abs(s - mo) + abs(o - mo))', 'md'),
+ col('1 - sum(pow((o - s) / o, 2)) / sum(pow((abs(s - mo) + abs(o - mo)) / mo, 2))', 'rd'),
+ col('corr(s, o)', 'r'), col(r2, 'R2'), col(f'CASE WHEN {b} <= 1 THEN {b} * {r2} ELSE {r2} / {b} END', 'bR2'),
+ col('1 - sqrt(pow(corr(s, o) - 1, 2) + pow(stddev_samp(s) / stddev_samp(o) - 1, 2) + pow(avg(s) / avg(o) - 1, 2))', 'KGE'),
+ col('1 - sum(abs(o - s)) / sum(o)', 'VE')])}{cp}
+FROM (SELECT *, avg(o) {over} AS mo{lag} FROM (SELECT {k}{s} AS s, {o} AS o{extra} FROM {source})) {group}"""

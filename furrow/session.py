@@ -33,6 +33,7 @@ def local_session(cores: int | str = 8, app: str = "furrow") -> SparkSession:
         .config("spark.driver.memory", "12g")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.host", "localhost")
         .getOrCreate()
     )
