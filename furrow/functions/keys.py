@@ -51,6 +51,16 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "in
     ).drop("__scalars")
 
 
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Hash small solver inputs by key over all shuffle partitions.
+
+    Collapsed tables are so small that AQE would merge them into one task, while
+    their solves are what takes the time.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(parts, *keys)
+
+
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Rows without null or NaN in the columns.
 

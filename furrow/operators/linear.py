@@ -10,12 +10,12 @@ from collections.abc import Callable, Sequence
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions import solvers as S
-from furrow.functions.keys import attach, null_safe_join
+from furrow.functions.keys import attach, null_safe_join, spread
 
 RESULT = [
     T.StructField("model", T.StringType()),
@@ -166,7 +166,8 @@ def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve) -> DataFr
         first = {k: pdf[k].iloc[0] for k in keys}
         return _frame([{**first, **found} for found in solve(sum(pieces), pieces)], names)
 
-    return table.select(*keys, "m").groupBy(*keys).applyInPandas(run, schema)
+    rows = table.select(*keys, "m")
+    return (spread(rows, keys) if keys else rows).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _best_penalty(total, pieces, alpha: float) -> float:

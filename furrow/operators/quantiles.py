@@ -1,9 +1,9 @@
-"""Exact quantiles per group without holding a group in one task.
+"""Exact quantiles per group without holding a large group in one task.
 
-``percentile`` keeps a map of all distinct values of a group in one task's
-memory. Here a group is cut into value bins first; bins are ranked by their
-counts (a bounded number per group) and only the bins that contain a wanted
-rank are sorted. The result is the same type-7 quantile.
+``percentile`` keeps a map of the distinct values of a group in one task's memory,
+which is fine up to a known group size. Larger groups are cut into value bins: bins
+are ranked by their counts (a bounded number per group) and only the bins that
+contain a wanted rank are sorted. Both give the same type-7 quantile.
 """
 
 from __future__ import annotations
@@ -15,7 +15,9 @@ from pyspark.sql import functions as F
 
 from furrow.functions.keys import attach, null_safe_join
 
-BINS = 1024
+# groups up to this many values are sorted in memory
+IN_MEMORY = 500_000
+BINS = 4096
 
 
 def group_quantiles(
@@ -36,7 +38,26 @@ def group_quantiles(
             *[F.percentile_approx("__v", p, 10000).alias(n) for p, n in zip(probs, names)],
             F.count(F.lit(1)).alias("n"),
         )
-    span = present.groupBy(*keys).agg(F.min("__v").alias("__lo"), F.max("__v").alias("__hi"))
+    sizes = present.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
+    )
+    if not keys:
+        return _binned(present, sizes.drop("n"), keys, probs, names)
+    # at most rows / IN_MEMORY groups are large, so the list of them is small
+    large = F.broadcast(sizes.where(F.col("n") > IN_MEMORY).drop("n"))
+    small = null_safe_join(present, large.select(*keys), keys, "left_anti").groupBy(*keys).agg(
+        F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q"),
+        F.count(F.lit(1)).alias("n"),
+    )
+    return small.select(*keys, *[F.col("__q")[i].alias(c) for i, c in enumerate(names)], "n").unionByName(
+        _binned(present, large, keys, probs, names)
+    )
+
+
+def _binned(
+    present: DataFrame, span: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]
+) -> DataFrame:
+    """Quantiles of the groups listed in ``span`` (keys, __lo, __hi)."""
     share = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
     bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)).cast("int")
     fine = (

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions.filters import drop_flat_series, min_group_size
-from furrow.functions.keys import complete, null_safe_join
+from furrow.functions.keys import complete, null_safe_join, spread
 
 
 def knot_count(m: int) -> int:
@@ -69,9 +69,17 @@ def smooth(x, y, w, within: float, lam: float | None = None) -> np.ndarray:
     middle = slice(2, -3) if len(gram) > 6 else slice(None)
     ratio = np.diag(gram)[middle].sum() / np.diag(penalty)[middle].sum()
 
+    # both matrices diagonal in one basis, so a trial of the penalty costs no solve
+    lower = np.linalg.cholesky(gram + ratio * penalty)
+    half = np.linalg.solve(lower, np.linalg.solve(lower, gram).T)
+    share, vectors = np.linalg.eigh((half + half.T) / 2)
+    share = np.clip(share, 0.0, 1.0)
+    loadings = np.linalg.solve(lower.T, vectors)
+    curves, weights = design @ loadings, loadings.T @ right
+
     def fit(value: float):
-        both = np.linalg.solve(gram + value * penalty, np.c_[right, gram])
-        return design @ both[:, 0], np.trace(both[:, 1:])
+        shrink = 1.0 / (share + value / ratio * (1.0 - share) + 1e-300)
+        return curves @ (shrink * weights), np.sum(share * shrink)
 
     if lam is not None:
         return fit(lam)[0]
@@ -120,7 +128,7 @@ def spline_trend(
             values = smooth(px, py, pw, float(pdf["__ss"].sum()), lam)
         return pdf[keys].assign(__x=px, fitted=values)
 
-    fitted = points.groupBy(*keys).applyInPandas(solve, schema)
+    fitted = spread(points, keys).groupBy(*keys).applyInPandas(solve, schema)
     return (
         null_safe_join(valid.withColumn("__x", F.col(x).cast("double")), fitted, [*keys, "__x"])
         .withColumn("resid", F.col(y) - F.col("fitted"))

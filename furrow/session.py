@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,9 +23,27 @@ SQL_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    _ship_package(spark)
     return spark
 
 
+def _ship_package(spark: SparkSession) -> None:
+    """Hand this package to the executors once per application.
+
+    Spark serves the archive to every executor, also to those that join later.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_furrow_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = Path(tempfile.mkdtemp(prefix="furrow-code-")) / "furrow.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for source in sorted(root.rglob("*.py")):
+            out.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    context._furrow_shipped = True
+
+
 def local_session(cores: int | str = 8, app: str = "furrow") -> SparkSession:
     """A local session for tests and the benchmark; clusters bring their own."""
     spark = (
