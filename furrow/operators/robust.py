@@ -28,7 +28,8 @@ def fit_huber(
     are written to the checkpoint folder between passes.
     """
     keys = list(keys)
-    rows = complete(df, [y, *features]).select(*dict.fromkeys([*keys, *features, y]))
+    # every pass reads the rows again, so they are derived once
+    rows = cut_lineage(complete(df, [y, *features]).select(*dict.fromkeys([*keys, *features, y])))
     fits = fit_ols(gram(rows, keys, features, y), keys, name)
     for _ in range(passes):
         fits = cut_lineage(fits)

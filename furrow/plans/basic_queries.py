@@ -15,7 +15,6 @@ from furrow.plans.inputs import (
     CROP_OF_TYPE, monthly_series, table, weather_long, weather_wide, yield_panel,
 )
 from furrow.plans.sql import CROP_CASE, MONTHLY, WEATHER, WIDE, YIELD, r, uniform
-from furrow.operators.seasons import CROP_NAME, SEASONS
 
 
 @query("p1_rename_select", f"""WITH {YIELD}
@@ -242,9 +241,9 @@ def _(spark, d):
 
 @query("f9_min_group_size", f"""WITH {MONTHLY}
 SELECT department, sp, x, {r('value', 'value')} FROM ms
-WHERE (department, sp) IN (SELECT (department, sp) FROM ms GROUP BY department, sp HAVING count(*) > 80)""")
+WHERE (department, sp) IN (SELECT (department, sp) FROM ms GROUP BY department, sp HAVING count(*) > 58)""")
 def _(spark, d):
-    return round_doubles(FL.min_group_size(monthly_series(spark, d), ["department", "sp"], 80))
+    return round_doubles(FL.min_group_size(monthly_series(spark, d), ["department", "sp"], 58))
 
 
 @query("f10_drop_flat_series", f"""WITH {WEATHER}, z AS (
@@ -362,9 +361,6 @@ def _(spark, d):
     )
 
 
-_CODES = ", ".join(f"('{c}')" for c in SEASONS)
-
-
 @query("j12_code_lookup", f"""WITH codes AS (SELECT p_partkey, lower(substr(p_type, 1, 3)) || '_' || lower(substr(p_brand, 1, 3)) AS code FROM part)
 SELECT p_partkey, code, c_mktsegment AS segment FROM codes LEFT JOIN (SELECT DISTINCT lower(p_type) || ' ' || lower(p_brand) AS c_mktsegment FROM part) n
 ON contains(c_mktsegment, substr(code, 1, 3)) AND contains(c_mktsegment, substr(code, 5, 3))""")

@@ -10,14 +10,14 @@ from furrow.functions.keys import round_doubles, rounded
 from furrow.operators import forest, impact, linear
 from furrow.operators import validate as V
 from furrow.operators.aggregates import rank_models
-from furrow.operators.gram import gram, training_matrices
+from furrow.operators.gram import gram
 from furrow.operators.panel_models import fit_panel_trend, fit_random_coef, panel_features
-from furrow.operators.quality import METRICS, gof, residuals, rmse
+from furrow.operators.quality import gof, residuals, rmse
 from furrow.operators.reshape import to_wide
 from furrow.operators.robust import fit_huber
 from furrow.operators.scenario import normalise_by_reference
 from furrow.plans.catalog import query
-from furrow.plans.inputs import month_panel, weather_long, yield_panel
+from furrow.plans.inputs import month_panel, yield_panel
 from furrow.plans.sql import PANEL, YIELD, fold_sql, gof_sql, ols_sql, r
 from furrow.plans.trend_queries import REBASE, scenarios
 
@@ -135,7 +135,7 @@ en AS (SELECT par.*, {', '.join(f'b{i} * sy / s{i} AS k{i}' for i in range(4))}
 @query("m4_elastic_net", f"""WITH RECURSIVE {PANEL}, {_descent_sql()}
 SELECT departement, model, {r('my - k0 * m0 - k1 * m1 - k2 * m2 - k3 * m3', 'intercept')}, {', '.join(r(f'k{i}', f'"{n}"') for i, n in enumerate(FEATURES))} FROM en""")
 def _(spark, d):
-    table = gram(month_panel(spark, d), ["departement"], FEATURES, "log_yield").persist()
+    table = gram(month_panel(spark, d), ["departement"], FEATURES, "log_yield")
     fits = None
     for model, alpha in linear.PENALISED.items():
         one = linear.fit_elastic_net(table, ["departement"], alpha, [0.005], name=model)
