@@ -155,8 +155,11 @@ def tune(total: np.ndarray, pieces: list[np.ndarray], fit: Callable, choices) ->
     return np.array(errors)
 
 
-def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve) -> DataFrame:
-    """Solve per group from the matrices of its inner folds (a handful of rows)."""
+def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve, part: str | None = None) -> DataFrame:
+    """Solve per group from the matrices of its inner folds (a handful of rows).
+
+    With ``part`` the solve also gets the labels of the inner folds.
+    """
     keys = list(keys)
     schema = T.StructType(_fields(table, keys) + fields)
     names = [f.name for f in schema.fields]
@@ -164,15 +167,16 @@ def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve) -> DataFr
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pieces = [S.unpack(m) for m in pdf["m"]]
         first = {k: pdf[k].iloc[0] for k in keys}
-        return _frame([{**first, **found} for found in solve(sum(pieces), pieces)], names)
+        more = [list(pdf[part])] if part else []
+        return _frame([{**first, **found} for found in solve(sum(pieces), pieces, *more)], names)
 
-    rows = table.select(*keys, "m")
+    rows = table.select(*keys, *([part] if part else []), "m")
     return (spread(rows, keys) if keys else rows).groupBy(*keys).applyInPandas(run, schema)
 
 
 def _best_penalty(total, pieces, alpha: float) -> float:
     path = S.penalty_path(total, alpha)
-    errors = tune(total, pieces, lambda g, c: S.elastic_net(g, alpha, c, sweeps=300, tol=1e-7), path)
+    errors = tune(total, pieces, lambda g, c: S.elastic_net(g, alpha, c, sweeps=1000, tol=1e-9), path)
     return float(path[int(np.argmin(errors.sum(axis=0)))] if len(errors) else path[-1])
 
 
@@ -190,25 +194,25 @@ def cv_elastic_net(table: DataFrame, keys: Sequence[str], alpha: float, name: st
     return _group_solve(table, keys, RESULT, solve)
 
 
-def cv_pls_errors(table: DataFrame, keys: Sequence[str], max_ncomp: int) -> DataFrame:
-    """Error of 0..max_ncomp components on each inner fold: ``ncomp``, ``part``, ``rmsep``, ``rows``."""
+def cv_pls_errors(table: DataFrame, keys: Sequence[str], max_ncomp: int, part: str = "inner") -> DataFrame:
+    """Error of 0..max_ncomp components on each inner fold: ``ncomp``, the fold, ``rmsep``, ``rows``."""
     fields = [
-        T.StructField("ncomp", T.IntegerType()), T.StructField("part", T.IntegerType()),
+        T.StructField("ncomp", T.IntegerType()), table.schema[part],
         T.StructField("rmsep", T.DoubleType()), T.StructField("rows", T.DoubleType()),
     ]
 
-    def solve(total, pieces):
+    def solve(total, pieces, labels):
         out = []
-        for i, piece in enumerate(pieces):
+        for label, piece in zip(labels, pieces):
             if total[0, 0] - piece[0, 0] > 2:
                 errors = S.squared_error(piece, *S.partial_least_squares(total - piece, max_ncomp))
                 out += [
-                    {"ncomp": k, "part": i, "rmsep": float(np.sqrt(max(e, 0) / piece[0, 0])), "rows": piece[0, 0]}
+                    {"ncomp": k, part: label, "rmsep": float(np.sqrt(max(e, 0) / piece[0, 0])), "rows": piece[0, 0]}
                     for k, e in enumerate(errors)
                 ]
         return out
 
-    return _group_solve(table, keys, fields, solve)
+    return _group_solve(table, keys, fields, solve, part)
 
 
 def select_ncomp(errors: DataFrame, keys: Sequence[str], floor: int = 1) -> DataFrame:

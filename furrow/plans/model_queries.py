@@ -18,7 +18,7 @@ from furrow.operators.robust import fit_huber
 from furrow.operators.scenario import normalise_by_reference
 from furrow.plans.catalog import query
 from furrow.plans.inputs import month_panel, yield_panel
-from furrow.plans.sql import PANEL, YIELD, fold_sql, gof_sql, ols_sql, r
+from furrow.plans.sql import PANEL, YIELD, fold_sql, gof_sql, ols_sql, r, uniform
 from furrow.plans.trend_queries import REBASE, scenarios
 
 FEATURES = ["Tn", "gap", "PR", "ETP"]
@@ -143,11 +143,44 @@ def _(spark, d):
     return round_doubles(fits.select("departement", "model", "intercept", *[F.col("coef")[i].alias(n) for i, n in enumerate(FEATURES)]))
 
 
-@query("m5_cv_elastic_net")
+INNER = "CAST(floor(" + uniform("departement || '|' || CAST(year AS VARCHAR) || '|' || CAST(month AS VARCHAR)", 7) + " * 10) AS INTEGER) AS inner_fold"
+
+
+def _lasso_cv_sql(steps: int = 50, sweeps: int = 300) -> str:
+    """Coordinate descent for every group, left-out part (-1: none) and penalty at once."""
+    f = ["tn", "gp", "pr", "etp"]
+    cor = ", ".join(f"corr({f[i]}, {f[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
+    rr = lambda i, j: f"r{min(i, j)}{max(i, j)}"
+
+    def update(j: int) -> str:
+        rest = " - ".join([f"c{j}"] + [f"{rr(i, j)} * {'n' if i < j else 'b'}{i}" for i in range(4) if i != j])
+        return f"{rest} AS t{j}, sign(t{j}) * greatest(abs(t{j}) - lam, 0) AS n{j}"
+
+    bs = ", ".join(f"b{i}" for i in range(4))
+    return f"""
+fo AS (SELECT *, tx - tn AS gp, {INNER} FROM mp),
+st AS (SELECT departement, part, {cor}, {', '.join(f'corr({x}, log_yield) AS c{i}, stddev_pop({x}) AS s{i}, avg({x}) AS m{i}' for i, x in enumerate(f))},
+  stddev_pop(log_yield) AS sy, avg(log_yield) AS my FROM fo, (SELECT unnest(range(-1, 10)) AS part) WHERE inner_fold <> part GROUP BY departement, part),
+pa AS (SELECT departement, k, sy * greatest(abs(c0), abs(c1), abs(c2), abs(c3)) * pow(1e-4, k / {steps - 1}.0) AS penalty FROM st, (SELECT unnest(range({steps})) AS k) WHERE part = -1),
+par AS (SELECT st.*, k, penalty, penalty / sy AS lam FROM st JOIN pa USING (departement)),
+cd AS (SELECT departement, part, k, 0 AS it, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(4))} FROM par
+  UNION ALL SELECT departement, part, k, it + 1, n0, n1, n2, n3 FROM (
+    SELECT cd.departement, cd.part, cd.k, it, {', '.join(update(j) for j in range(4))}
+    FROM cd JOIN par ON cd.departement = par.departement AND cd.part = par.part AND cd.k = par.k WHERE it < {sweeps})),
+co AS (SELECT par.departement, par.part, par.k, penalty, my, {', '.join(f'b{i} * sy / s{i} AS k{i}, m{i}' for i in range(4))}
+  FROM (SELECT departement, part, k, {bs} FROM cd WHERE it = {sweeps}) cd JOIN par USING (departement, part, k)),
+er AS (SELECT fo.departement, k, sum(pow(log_yield - my - {' - '.join(f'k{i} * ({x} - m{i})' for i, x in enumerate(f))}, 2)) AS sse
+  FROM fo JOIN co ON fo.departement = co.departement AND fo.inner_fold = co.part GROUP BY ALL),
+be AS (SELECT departement, k FROM er QUALIFY row_number() OVER (PARTITION BY departement ORDER BY sse, k) = 1)"""
+
+
+@query("m5_cv_elastic_net", f"""WITH RECURSIVE {PANEL}, {_lasso_cv_sql()}
+SELECT departement, {r('penalty', '"lambda"', 5)}, {', '.join(r(f'k{i}', f'"{n}"', 5) for i, n in enumerate(FEATURES))} FROM co JOIN be USING (departement, k) WHERE part = -1""")
 def _(spark, d):
     rows = V.inner_folds(month_panel(spark, d), ROW, 10)
     table = gram(rows, ["departement", "inner"], FEATURES, "log_yield")
-    return linear.cv_elastic_net(table, ["departement"], 1.0, "lasso")
+    fits = linear.cv_elastic_net(table, ["departement"], 1.0, "lasso")
+    return round_doubles(fits.select("departement", "lambda", *[F.col("coef")[i].alias(n) for i, n in enumerate(FEATURES)]), 5)
 
 
 def _pls_sql(components: int) -> str:
@@ -174,10 +207,28 @@ def _(spark, d):
     return round_doubles(linear.predict(fits, panel, ["departement"], FEATURES).select(*ROW, "pred"))
 
 
-@query("m6_cv_pls_errors")
+def _pls_cv_sql(components: int) -> str:
+    f = SQL_FEATURES
+    o = "OVER (PARTITION BY departement, part)"
+    mean = lambda e: f"sum(w * {e}) {o} / sum(w) {o}"
+    steps = [
+        f"fo AS (SELECT *, {INNER} FROM mp)",
+        "ex AS (SELECT *, CASE WHEN inner_fold <> part THEN 1.0 ELSE 0.0 END AS w FROM fo, (SELECT unnest(range(10)) AS part))",
+        f"q0 AS (SELECT *, {', '.join(f'{x} - {mean(x)} AS x0_{i}' for i, x in enumerate(f))}, log_yield - {mean('log_yield')} AS v0 FROM ex)",
+    ]
+    for a in range(components):
+        xs, t = [f"x{a}_{i}" for i in range(4)], f"t{a}"
+        along = lambda e: f"sum(w * {e} * {t}) {o} / sum(w * {t} * {t}) {o} * {t}"
+        steps.append(f"w{a} AS (SELECT *, {' + '.join(f'sum(w * {x} * v{a}) {o} * {x}' for x in xs)} AS {t} FROM q{a})")
+        steps.append(f"q{a + 1} AS (SELECT *, {', '.join(f'{x} - {along(x)} AS x{a + 1}_{i}' for i, x in enumerate(xs))}, v{a} - {along(f'v{a}')} AS v{a + 1} FROM w{a})")
+    return ",\n".join(steps)
+
+
+@query("m6_cv_pls_errors", f"WITH {PANEL}, {_pls_cv_sql(3)} " + " UNION ALL ".join(
+    f"""SELECT departement, inner_fold AS "inner", {k} AS ncomp, {r(f'sqrt(avg(v{k} * v{k}))', 'rmsep')}, count(*)::DOUBLE AS rows FROM q3 WHERE inner_fold = part GROUP BY ALL""" for k in range(4)))
 def _(spark, d):
     rows = V.inner_folds(month_panel(spark, d), ROW, 10)
-    return linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], 4)
+    return round_doubles(linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], 3))
 
 
 @query("m7_select_ncomp", f"""WITH {PANEL}, e AS (SELECT departement, month - 1 AS ncomp, year AS part, tn AS rmsep, area AS rows FROM mp WHERE month <= 6),
