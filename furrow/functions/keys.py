@@ -52,12 +52,14 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash small solver inputs by key over all shuffle partitions.
+    """Hash small solver inputs by key over all cores.
 
     Collapsed tables are so small that AQE would merge them into one task, while
     their solves are what takes the time.
     """
-    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = df.sparkSession
+    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
     return df.repartition(parts, *keys)
 
 

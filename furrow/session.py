@@ -23,6 +23,10 @@ SQL_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
+    context = spark.sparkContext
+    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
+        # the untouched default of a single machine; clusters keep what they set
+        spark.conf.set("spark.sql.shuffle.partitions", str(max(context.defaultParallelism, 8)))
     _ship_package(spark)
     return spark
 

@@ -210,3 +210,28 @@ def test_by_key_files_round_trip(spark, tmp_path):
     back = IO.read_partition(spark, f"{tmp_path}/t", "k", "b")
     assert sorted(r["v"] for r in back.collect()) == [2, 3]
     assert "PartitionFilters: [isnotnull(k" in back._jdf.queryExecution().executedPlan().toString()
+
+
+def test_hot_group_is_split_when_values_are_joined_back(spark):
+    small = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
+    }
+    before = {k: spark.conf.get(k, None) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        df = spark.range(0, 90_000, 1, 8).select(
+            F.when(F.col("id") % 3 == 0, F.lit(0)).otherwise(F.col("id")).alias("k"), (F.col("id") * 1.5).alias("v")
+        )
+        # grouped again by the same key: the split must survive the next aggregate
+        out = A.standardise(df, ["k"], ["v"]).groupBy("k").agg(F.count(F.lit(1)).alias("n"))
+        assert out.agg(F.max("n"), F.sum("n")).first() == (30_000, 90_000)
+        out.collect()
+        assert "skew=true" in out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
