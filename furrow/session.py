@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -23,10 +25,6 @@ SQL_SETTINGS = {
 def configure(spark: SparkSession) -> SparkSession:
     for key, value in SQL_SETTINGS.items():
         spark.conf.set(key, value)
-    context = spark.sparkContext
-    if context.master.startswith("local") and spark.conf.get("spark.sql.shuffle.partitions") == "200":
-        # the untouched default of a single machine; clusters keep what they set
-        spark.conf.set("spark.sql.shuffle.partitions", str(max(context.defaultParallelism, 8)))
     _ship_package(spark)
     return spark
 
@@ -68,18 +66,32 @@ def local_session(cores: int | str = 8, app: str = "furrow") -> SparkSession:
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    Only where the session names none (tests, single machine) a fresh local
-    folder is made and recorded as the checkpoint folder.
+    Only on a single machine, where the session names none, a fresh local folder is
+    made and recorded as the checkpoint folder; elsewhere that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="furrow-"))
     return context.getCheckpointDir()
 
 
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
+    """Write to the shared folder as Parquet and read it again: a restart point for what follows."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.partitionBy(*(by or [])).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: iterative operators restart from here after a loss."""
     spark = df.sparkSession
