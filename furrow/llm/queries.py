@@ -4,12 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import extendible, pareto
+from furrow.llm import extendible, pareto, quality
 from furrow.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
 
 
+@query("op1_quality_divergence")
+def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_report(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mix_pareto", pareto.MIX_SQL)
 def mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto.mix_report(table(spark, sf_dir, "documents"))
