@@ -190,7 +190,8 @@ def distance(p: Column, q: Column) -> Column:
     term = lambda a, b: F.when(a > 0, a * F.log2(2 * a / (a + b))).otherwise(0.0)
     terms = F.zip_with(p, q, lambda a, b: term(a, b) + term(b, a))
     twice = F.aggregate(terms, F.lit(0.0), lambda a, x: a + x)
-    return F.sqrt(F.least(F.greatest(twice / 2, F.lit(0.0)), F.lit(1.0)))
+    # greatest() passes over nulls
+    return F.when(twice.isNotNull(), F.sqrt(F.least(F.greatest(twice / 2, F.lit(0.0)), F.lit(1.0))))
 
 
 def judged(features: DataFrame, references: DataFrame) -> DataFrame:
