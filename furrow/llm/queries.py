@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import extendible, pareto, quality
+from furrow.llm import extendible, jaccard, pareto, quality
 from furrow.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
@@ -23,3 +23,8 @@ def mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op7_shard_extendible", extendible.shards_sql(SHARD_BYTES))
 def shard_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
+
+
+@query("op9_near_jaccard")
+def near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_classes(table(spark, sf_dir, "documents"))
