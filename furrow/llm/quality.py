@@ -83,6 +83,24 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) >= 3, let(words, counted)).otherwise(0).cast("long")
 
 
+def _tally(words: Column) -> Column:
+    """Map from each distinct element of an array to how often it occurs, from runs of the sorted array."""
+
+    def runs(s: Column) -> Column:
+        starts = F.filter(
+            F.transform(s, lambda x, i: F.when((i == 0) | (F.get(s, i - 1) != x), i)), lambda i: i.isNotNull()
+        )
+        return let(
+            starts,
+            lambda at: F.map_from_arrays(
+                F.transform(at, lambda i: F.get(s, i)),
+                F.transform(at, lambda i, k: F.coalesce(F.get(at, k + 1), F.size(s)) - i),
+            ),
+        )
+
+    return let(F.sort_array(words), runs)
+
+
 def _without(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, pattern, "")
 
@@ -108,7 +126,7 @@ def count_features(docs: DataFrame) -> DataFrame:
             _Q + "n_symbols": (F.char_length(rest) - F.char_length(F.translate(rest, SYMBOLS, ""))).cast("long"),
             _Q + "n_dup_lines": (F.size(lines) - F.size(F.array_distinct(lines))).cast("long"),
             _Q + "n_repeat_words": repeated_words(words),
-            _Q + "common": F.filter(words, lambda w: w.isin(spelled)),
+            _Q + "tally": _tally(F.transform(F.filter(words, lambda w: w.isin(spelled)), F.lower)),
             _Q + "upper": F.char_length(_without(rest, "[^A-Z]+")),
             _Q + "digits": F.char_length(_without(rest, "[^0-9]+")),
             _Q + "marks": F.char_length(_without(rest, f"[^{_escaped(SENTENCE_MARKS)}]+")),
@@ -125,11 +143,9 @@ def count_features(docs: DataFrame) -> DataFrame:
         c("ascii") - c("upper") - c("digits") - c("marks"),  # other signs
         c("n_rest") - c("ascii"),  # letters and signs beyond ASCII
     ).cast("array<long>")
-    both = lambda w: F.size(c("common")) - F.size(F.array_remove(c("common"), w))
-    hits = {w: both(w) + both(w[:1].upper() + w[1:]) for w in known}
-    histogram = F.array(*[hits[w].cast("long") for w in known])
+    histogram = F.array(*[F.coalesce(F.try_element_at(c("tally"), F.lit(w)), F.lit(0)).cast("long") for w in known])
     return counted.withColumns({_Q + "classes": classes, _Q + "hits": histogram}).drop(
-        *[_Q + x for x in ("words", "rest", "lines", "common", "upper", "digits", "marks", "ascii", "n_rest")]
+        *[_Q + x for x in ("words", "rest", "lines", "tally", "upper", "digits", "marks", "ascii", "n_rest")]
     )
 
 
