@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import extendible, jaccard, pareto, quality
+from furrow.llm import extendible, jaccard, pareto, quality, wavelet
 from furrow.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
@@ -15,6 +15,11 @@ def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
 
+@query("op2_tokens_wavelet")
+def tokens_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelet.encoded_documents(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mix_pareto", pareto.MIX_SQL)
 def mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto.mix_report(table(spark, sf_dir, "documents"))
