@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from furrow.llm import extendible, jaccard, pareto, quality, wavelet
+from furrow.llm import extendible, jaccard, pareto, quality, templates, wavelet
 from furrow.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
@@ -30,6 +30,11 @@ def shard_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
 
 
+@query("op8_decontaminate_templates")
+def decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return templates.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_near_jaccard")
 def near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
