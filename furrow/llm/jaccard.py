@@ -21,9 +21,10 @@ pairs that look linked, the first on one shingle a class; the last round checks
 pair of different components that passes the bounds, so that no link is lost. In it,
 the inside of a component, however many copies it has, costs nothing.
 
-Nulls and empty texts have no shingles and link with nothing. Rows of one ``doc_id`` are one
-document and so are all rows of null id, whose component is null if it has no other id below.
-An empty table gives an empty result. Other columns are not looked at.
+Nulls and empty texts have no shingles and link with nothing. Repeated rows are copies of each other. Ids
+are taken to be unique otherwise: rows of one id and different texts each go with their own text. A null id
+comes before all others, so a component with one has a null ``component_id``. An empty table gives an
+empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -417,3 +418,15 @@ def near_classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame
         shown = shown.join(comps.select(F.col("id").alias("own"), "comp"), "own", "left").withColumn("own", F.coalesce("comp", "own"))
     hidden = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return shown.select(hidden("id").alias("doc_id"), F.col("n").alias("n_shingles"), hidden("own").alias("component_id"))
+
+
+def first_of_each_class(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
+    """``docs`` with one document of each component, that of the least id; a repeated row stays once."""
+    classes = written(near_classes(docs, percent, size), "near-found")
+    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__other")).distinct()
+    others = written(others, "near-others")
+    few = others.count() <= BROADCAST_IDS
+    kept = docs.join(F.broadcast(others) if few else others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
+    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
+        return kept
+    return kept.dropDuplicates(["doc_id", "text"])

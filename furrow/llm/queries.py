@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from furrow.llm import extendible, jaccard, pareto, quality, templates, wavelet
 from furrow.llm.registry import query, table
 
@@ -38,3 +39,6 @@ def decontaminate_templates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op9_near_jaccard")
 def near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
+
+
+query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
