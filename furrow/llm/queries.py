@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from furrow.llm import extendible, jaccard, pareto, quality, templates, wavelet
+from furrow.llm import chunks, extendible, jaccard, langmix, ordinal, pareto, quality, templates, warc, wavelet
 from furrow.llm.registry import query, table
 
 SHARD_BYTES = 1 << 20
@@ -21,11 +21,26 @@ def tokens_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.encoded_documents(table(spark, sf_dir, "documents"))
 
 
+@query("op3_language_mixture")
+def language_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langmix.held_out_predictions(table(spark, sf_dir, "documents"))
+
+
+@query("op4_dedup_chunks")
+def dedup_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 @query("op5_mix_pareto", pareto.MIX_SQL)
 def mix_pareto(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto.mix_report(table(spark, sf_dir, "documents"))
 
 
+@query("op6_grade_ordinal")
+def grade_ordinal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ordinal.grade_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 @query("op7_shard_extendible", extendible.shards_sql(SHARD_BYTES))
 def shard_extendible(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extendible.assign_shards(table(spark, sf_dir, "documents"), SHARD_BYTES)
@@ -41,4 +56,9 @@ def near_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_classes(table(spark, sf_dir, "documents"))
 
 
+@query("op10_warc_derivatives")
+def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivative_report(table(spark, sf_dir, "pages"))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)

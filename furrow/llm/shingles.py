@@ -23,6 +23,9 @@ BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(BASE, -1, 2**64)
 IN_WORD = np.ones(256, bool)
 IN_WORD[[9, 10, 11, 12, 13, 32]] = False
+# letters, digits and all bytes of code points beyond ASCII
+ALPHANUMERIC = np.zeros(256, bool)
+ALPHANUMERIC[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -69,9 +72,9 @@ def text_slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, np.nd
         at = upto
 
 
-def word_hashes(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all words in order, and the number of words before each row and at the end."""
-    inside = IN_WORD[data]
+def word_hashes(data: np.ndarray, offsets: np.ndarray, of: np.ndarray = IN_WORD) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all words, runs of bytes in ``of``, in order, and how many come before each row and the end."""
+    inside = of[data]
     before = np.empty(len(data) + 1, bool)
     before[0] = False
     before[1:] = inside
