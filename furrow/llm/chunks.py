@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -128,7 +129,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     )
     joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
 
-    def cut(texts: "pd.Series", spans: "pd.Series") -> "pd.Series":  # noqa: F821
+    def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []
         for text, mine in zip(texts, spans):
             if text is None or mine is None:
@@ -139,11 +140,9 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                 kept.append(data[upto : s["start"]])
                 upto = s["start"] + s["n_bytes"]
             out.append(b"".join([*kept, data[upto:]]).decode(errors="ignore"))
-        import pandas as pd
-
         return pd.Series(out, dtype=object)
 
-    cut_texts = F.pandas_udf(cut, "string", functionType=200)
+    cut_texts = F.pandas_udf(cut, "string")
     return joined.withColumn("text", F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(cut_texts("text", "__cuts"))).select(
         *[F.col(f"`{c}`") for c in docs.columns]
     )
