@@ -63,9 +63,19 @@ def normalise_key(
     return {"upper": F.upper, "lower": F.lower, None: lambda x: x}[case](c)
 
 
-def separate(df: DataFrame, col: str, into: Sequence[str], sep: str) -> DataFrame:
-    """Split a string column; missing pieces become null, surplus ones are dropped."""
-    parts = F.split(F.col(col), sep)
+def separate(df: DataFrame, col: str, into: Sequence[str], sep: str, extra: str = "refuse") -> DataFrame:
+    """Split a string column; missing pieces become null.
+
+    Surplus pieces raise an error, are left out with ``extra='drop'``, or stay in the last
+    column with ``extra='merge'``.
+    """
+    if extra == "merge":
+        parts = F.split(F.col(col), sep, len(into))
+    else:
+        parts = F.split(F.col(col), sep)
+    if extra == "refuse":
+        message = F.lit(f"more than {len(into)} pieces in {col}")
+        parts = F.when(F.size(parts) > len(into), F.raise_error(message).cast("array<string>")).otherwise(parts)
     return df.withColumns({name: F.get(parts, i) for i, name in enumerate(into)}).drop(col)
 
 

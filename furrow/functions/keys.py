@@ -18,8 +18,16 @@ def null_safe_join(
 
     For an outer join the key is taken from whichever side has the row. No size
     is assumed for either side: AQE turns the join into a broadcast when the
-    measured size allows and splits hot partitions otherwise.
+    measured size allows and splits hot partitions otherwise. It does not split those of a
+    full join, which is therefore the left join and the rows of the right table
+    whose key the left one lacks.
     """
+    if how in ("full", "outer", "full_outer", "fullouter"):
+        both = null_safe_join(left, right, keys, "left")
+        only = null_safe_join(right, left.select(*keys), keys, "left_anti")
+        rest = [c for c in left.columns if c not in keys]
+        only = only.select(*keys, *[F.lit(None).cast(left.schema[c].dataType).alias(c) for c in rest], *[c for c in right.columns if c not in keys])
+        return both.select(*keys, *rest, *[c for c in right.columns if c not in keys]).union(only)
     renamed = right.withColumnsRenamed({k: _RIGHT + k for k in keys})
     on = reduce(
         lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(_RIGHT + k)) for k in keys]
@@ -27,7 +35,7 @@ def null_safe_join(
     joined = left.join(renamed, on, how)
     if how in ("left_semi", "left_anti"):
         return joined
-    if how in ("full", "outer", "full_outer", "right", "right_outer"):
+    if how in ("right", "right_outer"):
         rest = [c for c in joined.columns if c not in keys and not c.startswith(_RIGHT)]
         return joined.select(
             *[F.coalesce(F.col(k), F.col(_RIGHT + k)).alias(k) for k in keys], *rest
@@ -52,15 +60,12 @@ def attach(df: DataFrame, groups: DataFrame, keys: Sequence[str], how: str = "in
 
 
 def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Hash small solver inputs by key over all cores.
+    """Hash small solver inputs by key over as many tasks as the session's shuffles have.
 
     Collapsed tables are so small that AQE would merge them into one task, while
     their solves are what takes the time.
     """
-    spark = df.sparkSession
-    shuffle = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    parts = max(1, min(shuffle, 4 * spark.sparkContext.defaultParallelism))
-    return df.repartition(parts, *keys)
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
 def complete(df: DataFrame, cols: Sequence[str]) -> DataFrame:

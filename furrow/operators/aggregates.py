@@ -119,8 +119,14 @@ def boxplot_stats(df: DataFrame, keys: Sequence[str], col: str, reach: float = 1
     )
 
 
-def histogram(df: DataFrame, keys: Sequence[str], col: str, breaks: Sequence[float]) -> DataFrame:
+def histogram(
+    df: DataFrame, keys: Sequence[str], col: str, breaks: Sequence[float], outside: str = "refuse"
+) -> DataFrame:
+    """Counts per bin. Values beyond the breaks raise an error, or are left out with ``outside='drop'``."""
     bins = cut_fixed(col, breaks, include_lowest=True)
+    if outside == "refuse":
+        message = F.lit(f"a value of {col} lies outside the breaks")
+        bins = F.when(F.col(col).isNotNull() & bins.isNull(), F.raise_error(message).cast("string")).otherwise(bins)
     return (
         df.groupBy(*keys, bins.alias("bin"))
         .agg(F.count(F.lit(1)).alias("n"))

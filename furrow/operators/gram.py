@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -19,8 +19,6 @@ from furrow.functions.keys import complete
 
 # beyond this many features the native sums get slow to compile
 NATIVE_FEATURES = 12
-# groups a task holds before it hands its partial matrices on
-GROUPS_HELD = 2000
 
 
 def gram(
@@ -53,35 +51,48 @@ def gram(
 
 
 def _partial_matrices(rows: DataFrame, keys: list[str], size: int) -> DataFrame:
-    """One matrix per task and group; a group spread over tasks stays spread."""
+    """One matrix per task and group; a group spread over tasks stays spread.
+
+    Keys stay Arrow values from end to end: no number passes through another type.
+    """
     fields = [f for f in rows.schema.fields if f.name in keys]
     schema = T.StructType(
         fields + [T.StructField("rows", T.LongType()), T.StructField("m", T.ArrayType(T.DoubleType()))]
     )
-    upper = np.triu_indices(size)
+    first, second = np.triu_indices(size)
 
-    def hand_on(held: dict) -> pd.DataFrame:
-        out = pd.DataFrame(list(held), columns=keys) if keys else pd.DataFrame(index=range(len(held)))
-        out["rows"] = [count for count, _ in held.values()]
-        out["m"] = [m[upper] for _, m in held.values()]
-        return out
+    def groups_of(batch: pa.RecordBatch) -> np.ndarray:
+        codes = np.zeros(batch.num_rows, np.int64)
+        for k in keys:
+            own = batch[k].dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+            codes = np.unique(codes * (int(own.max(initial=0)) + 1) + own, return_inverse=True)[1]
+        return codes
 
     def add_up(batches):
-        held: dict = {}
-        for pdf in batches:
-            groups = pdf.groupby(keys, dropna=False, sort=False) if keys else [((), pdf)]
-            for key, part in groups:
-                key = tuple(None if pd.isna(k) else k for k in (key if isinstance(key, tuple) else (key,)))
-                z = np.c_[np.ones(len(part)), part[[f"__z{i}" for i in range(1, size)]].to_numpy(float)]
-                count, m = held.get(key, (0, 0.0))
-                held[key] = (count + len(part), m + z.T @ (part["__w"].to_numpy(float)[:, None] * z))
-            if len(held) > GROUPS_HELD:
-                yield hand_on(held)
-                held = {}
-        if held:
-            yield hand_on(held)
-
-    return rows.mapInPandas(add_up, schema)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            codes = groups_of(batch)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            z = np.column_stack(
+                [np.ones(batch.num_rows), *[batch[f"__z{i}"].to_numpy(zero_copy_only=False) for i in range(1, size)]]
+            )[order]
+            weight = batch["__w"].to_numpy(zero_copy_only=False)[order]
+            sums = np.add.reduceat(weight[:, None] * z[:, first] * z[:, second], starts, axis=0)
+            lead = pa.array(order[starts])
+            flat = pa.array(sums.ravel(), pa.float64())
+            ends = pa.array(np.arange(0, sums.size + 1, len(first)), pa.int32())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[batch[f.name].take(lead) for f in fields],
+                    pa.array(np.diff(np.r_[starts, len(order)]), pa.int64()),
+                    pa.ListArray.from_arrays(ends, flat),
+                ],
+                [f.name for f in schema.fields],
+            )
+
+    return rows.mapInArrow(add_up, schema)
 
 
 def sum_matrices(df: DataFrame, keys: Sequence[str]) -> DataFrame:

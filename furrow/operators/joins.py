@@ -10,8 +10,6 @@ from pyspark.sql import functions as F
 
 from furrow.functions.keys import null_safe_join
 
-GRID_BUCKETS = 16
-
 
 def natural_full_join(a: DataFrame, b: DataFrame) -> DataFrame:
     """Full outer join on every column the two tables share."""
@@ -46,11 +44,14 @@ def grid(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Every combination of the distinct values of the columns.
 
     The product is spread over buckets: one side is hashed into buckets, the
-    other copied to each, so it stays an equi-join whatever the sizes.
+    other copied to each, so it stays an equi-join whatever the sizes. There are as
+    many buckets as the session's shuffles have tasks.
     """
+    buckets = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
     def product(a: DataFrame, b: DataFrame) -> DataFrame:
-        hashed = F.pmod(F.xxhash64(*a.columns), F.lit(GRID_BUCKETS)).cast("int")
-        copies = F.explode(F.sequence(F.lit(0), F.lit(GRID_BUCKETS - 1)))
+        hashed = F.pmod(F.xxhash64(*a.columns), F.lit(buckets)).cast("int")
+        copies = F.explode(F.sequence(F.lit(0), F.lit(buckets - 1)))
         return (
             a.withColumn("__b", hashed).join(b.withColumn("__b", copies), "__b").drop("__b")
         )

@@ -24,7 +24,9 @@ RESULT = [
     T.StructField("lambda", T.DoubleType()),
     T.StructField("ncomp", T.IntegerType()),
     T.StructField("rank", T.IntegerType()),
+    T.StructField("converged", T.BooleanType()),
 ]
+PATH = 100  # penalties tried
 PENALISED = {"lasso": 1.0, "ridge": 0.0, "elnet": 0.5}
 
 
@@ -36,10 +38,10 @@ def _coefs(values) -> list:
     return [None if np.isnan(v) else float(v) for v in values]
 
 
-def _row(model: str, intercept: float, coef, lam=None, ncomp=None, rank=None) -> dict:
+def _row(model: str, intercept: float, coef, lam=None, ncomp=None, rank=None, converged=True) -> dict:
     return {
         "model": model, "intercept": float(intercept), "coef": _coefs(coef),
-        "lambda": lam, "ncomp": ncomp, "rank": rank,
+        "lambda": lam, "ncomp": ncomp, "rank": rank, "converged": bool(converged),
     }
 
 
@@ -81,14 +83,15 @@ def fit_ols(table: DataFrame, keys: Sequence[str], name: str = "ols") -> DataFra
 
 
 def fit_elastic_net(
-    table: DataFrame, keys: Sequence[str], alpha: float, lambdas: Sequence[float] | None = None, name: str = "elnet"
+    table: DataFrame, keys: Sequence[str], alpha: float, lambdas: Sequence[float] | None = None, name: str = "elnet",
+    steps: int = PATH,
 ) -> DataFrame:
-    """One row per group and penalty (a path of 50 when none is given)."""
+    """One row per group and penalty (a path of ``steps`` when none is given)."""
 
     def solve(g):
-        path = S.penalty_path(g, alpha) if lambdas is None else np.asarray(lambdas, float)
-        intercepts, coefs = S.elastic_net(g, alpha, path)
-        return [_row(name, a, b, lam=float(v)) for a, b, v in zip(intercepts, coefs, path)]
+        path = S.penalty_path(g, alpha, steps) if lambdas is None else np.asarray(lambdas, float)
+        fits = zip(*S.elastic_net(g, alpha, path), path)
+        return [_row(name, a, b, lam=float(v), converged=done) for a, b, done, v in fits]
 
     return _solve_rows(table, keys, RESULT, solve)
 
@@ -147,14 +150,19 @@ def coef_table(table: DataFrame, keys: Sequence[str], features: Sequence[str]) -
 
 
 def tune(total: np.ndarray, pieces: list[np.ndarray], fit: Callable, choices) -> np.ndarray:
-    """Squared error of every choice on each piece, fitted on the rest; (pieces, choices)."""
+    """Squared error of every choice on each piece, fitted on the sum of the others; (pieces, choices)."""
     errors = []
-    for piece in pieces:
+    for k, piece in enumerate(pieces):
         if piece[0, 0] > 0 and total[0, 0] - piece[0, 0] > 2:
-            errors.append(S.squared_error(piece, *fit(total - piece, choices)))
+            errors.append(S.squared_error(piece, *fit(_others(pieces, k), choices)[:2]))
     return np.array(errors)
 
 
+def _others(pieces: list[np.ndarray], k: int) -> np.ndarray:
+    """The sum of all matrices but one; not a difference, which would cancel."""
+    return sum(p for i, p in enumerate(pieces) if i != k)
+
+
 def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve, part: str | None = None) -> DataFrame:
     """Solve per group from the matrices of its inner folds (a handful of rows).
 
@@ -174,22 +182,24 @@ def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve, part: str
     return (spread(rows, keys) if keys else rows).groupBy(*keys).applyInPandas(run, schema)
 
 
-def _best_penalty(total, pieces, alpha: float) -> float:
-    path = S.penalty_path(total, alpha)
-    errors = tune(total, pieces, lambda g, c: S.elastic_net(g, alpha, c, sweeps=1000, tol=1e-9), path)
+def _best_penalty(total, pieces, alpha: float, steps: int = PATH) -> float:
+    path = S.penalty_path(total, alpha, steps)
+    errors = tune(total, pieces, lambda g, c: S.elastic_net(g, alpha, c), path)
     return float(path[int(np.argmin(errors.sum(axis=0)))] if len(errors) else path[-1])
 
 
-def cv_elastic_net(table: DataFrame, keys: Sequence[str], alpha: float, name: str = "elnet") -> DataFrame:
+def cv_elastic_net(
+    table: DataFrame, keys: Sequence[str], alpha: float, name: str = "elnet", steps: int = PATH
+) -> DataFrame:
     """Penalty with the smallest error over the inner folds, refitted on all of them.
 
     ``table`` has one row per group and inner fold.
     """
 
     def solve(total, pieces):
-        lam = _best_penalty(total, pieces, alpha)
-        intercepts, coefs = S.elastic_net(total, alpha, [lam])
-        return [_row(name, intercepts[0], coefs[0], lam=lam)]
+        lam = _best_penalty(total, pieces, alpha, steps)
+        intercepts, coefs, done = S.elastic_net(total, alpha, [lam])
+        return [_row(name, intercepts[0], coefs[0], lam=lam, converged=done[0])]
 
     return _group_solve(table, keys, RESULT, solve)
 
@@ -203,9 +213,9 @@ def cv_pls_errors(table: DataFrame, keys: Sequence[str], max_ncomp: int, part: s
 
     def solve(total, pieces, labels):
         out = []
-        for label, piece in zip(labels, pieces):
+        for k, (label, piece) in enumerate(zip(labels, pieces)):
             if total[0, 0] - piece[0, 0] > 2:
-                errors = S.squared_error(piece, *S.partial_least_squares(total - piece, max_ncomp))
+                errors = S.squared_error(piece, *S.partial_least_squares(_others(pieces, k), max_ncomp))
                 out += [
                     {"ncomp": k, part: label, "rmsep": float(np.sqrt(max(e, 0) / piece[0, 0])), "rows": piece[0, 0]}
                     for k, e in enumerate(errors)
@@ -242,11 +252,12 @@ def _one_sigma(errors: np.ndarray, counts: np.ndarray) -> int:
 
 
 def fit_models(
-    table: DataFrame, keys: Sequence[str], models: Sequence[str], max_ncomp: int = 10
+    table: DataFrame, keys: Sequence[str], models: Sequence[str], max_ncomp: int | None = None, steps: int = PATH
 ) -> DataFrame:
     """Fit and tune several models per group; ``table`` has one row per inner fold.
 
-    Models: ols, lasso, ridge, elnet, pls, bayes.
+    Models: ols, lasso, ridge, elnet, pls, bayes. ``max_ncomp`` bounds the components of pls, which
+    are as many as the features otherwise; ``steps`` is the number of penalties tried.
     """
     unknown = set(models) - {"ols", "pls", "bayes", *PENALISED}
     if unknown:
@@ -262,16 +273,16 @@ def fit_models(
                 mean = S.flat_posterior(total, 1e-10)["mean"]
                 out.append(_row(model, mean[0], mean[1:]))
             elif model == "pls":
-                top = int(min(max_ncomp, len(total) - 2, max(total[0, 0] - 2, 1)))
+                top = int(min(max_ncomp or len(total), len(total) - 2, max(total[0, 0] - 2, 1)))
                 usable = [p for p in pieces if p[0, 0] > 0 and total[0, 0] - p[0, 0] > 2]
                 errors = tune(total, usable, S.partial_least_squares, top)
                 ncomp = _one_sigma(errors, np.array([p[0, 0] for p in usable])) if len(errors) else 1
                 intercepts, coefs = S.partial_least_squares(total, top)
                 out.append(_row(model, intercepts[ncomp], coefs[ncomp], ncomp=ncomp))
             else:
-                lam = _best_penalty(total, pieces, PENALISED[model])
-                intercepts, coefs = S.elastic_net(total, PENALISED[model], [lam])
-                out.append(_row(model, intercepts[0], coefs[0], lam=lam))
+                lam = _best_penalty(total, pieces, PENALISED[model], steps)
+                intercepts, coefs, done = S.elastic_net(total, PENALISED[model], [lam])
+                out.append(_row(model, intercepts[0], coefs[0], lam=lam, converged=done[0]))
         return out
 
     return _group_solve(table, keys, RESULT, solve)
@@ -285,14 +296,17 @@ def linear_score(features: Sequence[str]):
     return score
 
 
-def predict(models: DataFrame, df: DataFrame, keys: Sequence[str], features: Sequence[str]) -> DataFrame:
+def predict(
+    models: DataFrame, df: DataFrame, keys: Sequence[str], features: Sequence[str], how: str = "inner"
+) -> DataFrame:
     """Rows once per model of their group, with ``model`` and ``pred``.
 
-    Groups without a model and models without rows drop out.
+    Models without rows drop out, and so do groups without a model; ``how='left'`` keeps
+    the rows of these with a null model and prediction.
     """
     fits = models.select(*keys, "model", "intercept", "coef")
     if keys:
-        joined = null_safe_join(df, fits, keys)
+        joined = null_safe_join(df, fits, keys, how)
     else:  # pooled: as many rows as models, each a few numbers
         many = fits.agg(F.collect_list(F.struct("model", "intercept", "coef")).alias("__fits"))
         joined = attach(df, many, []).select(*df.columns, F.inline("__fits"))

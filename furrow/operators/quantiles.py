@@ -1,9 +1,8 @@
-"""Exact quantiles per group without holding a large group in one task.
+"""Exact quantiles per group, whatever the size of a group.
 
-``percentile`` keeps a map of the distinct values of a group in one task's memory,
-which is fine up to a known group size. Larger groups are cut into value bins: bins
-are ranked by their counts (a bounded number per group) and only the bins that
-contain a wanted rank are sorted. Both give the same type-7 quantile.
+Sketches, which merge, bound each wanted rank from both sides. Values below the lower bound
+are only counted; those between the bounds, a thin slice of the group, are counted one
+by one and put in order. The result is the type-7 quantile. One path serves all groups.
 """
 
 from __future__ import annotations
@@ -13,11 +12,12 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import attach, null_safe_join
+from furrow.functions.keys import attach
 
-# groups up to this many values are sorted in memory
-IN_MEMORY = 500_000
-BINS = 4096
+# the sketch errs by one part in so many of the ranks
+ACCURACY = 10_000
+# the bounds keep so many times that distance from the wanted rank
+MARGIN = 4
 
 
 def group_quantiles(
@@ -35,81 +35,59 @@ def group_quantiles(
     )
     if approx:
         return present.groupBy(*keys).agg(
-            *[F.percentile_approx("__v", p, 10000).alias(n) for p, n in zip(probs, names)],
+            *[F.percentile_approx("__v", p, ACCURACY).alias(n) for p, n in zip(probs, names)],
             F.count(F.lit(1)).alias("n"),
         )
-    sizes = present.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("n"), F.min("__v").alias("__lo"), F.max("__v").alias("__hi")
-    )
-    if not keys:
-        return _binned(present, sizes.drop("n"), keys, probs, names)
-    # at most rows / IN_MEMORY groups are large, so the list of them is small
-    large = F.broadcast(sizes.where(F.col("n") > IN_MEMORY).drop("n"))
-    small = null_safe_join(present, large.select(*keys), keys, "left_anti").groupBy(*keys).agg(
-        F.percentile("__v", F.array(*[F.lit(float(p)) for p in probs])).alias("__q"),
+    step = MARGIN / ACCURACY
+    wanted = [x for p in probs for x in (max(p - step, 0.0), min(p + step, 1.0))]
+    bounds = present.groupBy(*keys).agg(
+        F.percentile_approx("__v", [float(x) for x in wanted], ACCURACY).alias("__q"),
         F.count(F.lit(1)).alias("n"),
+        F.min("__v").alias("__lo"),
+        F.max("__v").alias("__hi"),
     )
-    return small.select(*keys, *[F.col("__q")[i].alias(c) for i, c in enumerate(names)], "n").unionByName(
-        _binned(present, large, keys, probs, names)
+    slices = []
+    for i, p in enumerate(probs):
+        # of a few values the next ranks lie further off than the step: there the slice is the group
+        many = F.col("n") * step >= 8
+        low = F.when(many & F.lit(p > step), F.col("__q")[2 * i]).otherwise(F.col("__lo"))
+        high = F.when(many & F.lit(p + step < 1), F.col("__q")[2 * i + 1]).otherwise(F.col("__hi"))
+        slices.append(F.struct(F.lit(i).alias("__i"), low.alias("__from"), high.alias("__to")))
+    per_slice = bounds.select(*keys, "n", F.array(*slices).alias("__s"))
+    # a value above a slice is dropped, one below it becomes null and is only counted
+    parts = F.filter("__s", lambda s: F.col("__v") <= s["__to"])
+    cut = F.transform(
+        parts, lambda s: F.struct(s["__i"].alias("__i"), F.when(F.col("__v") >= s["__from"], F.col("__v")).alias("__x"))
     )
-
-
-def _binned(
-    present: DataFrame, span: DataFrame, keys: list[str], probs: Sequence[float], names: Sequence[str]
-) -> DataFrame:
-    """Quantiles of the groups listed in ``span`` (keys, __lo, __hi)."""
-    share = F.try_divide(F.col("__v") - F.col("__lo"), F.col("__hi") - F.col("__lo"))
-    bin_no = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * BINS), F.lit(BINS - 1)).cast("int")
-    fine = (
-        attach(present, span, keys)
-        .groupBy(*keys, bin_no.alias("__bin"), "__v")
+    counted = (
+        attach(present, per_slice, keys)
+        .select(*keys, F.inline(cut))
+        .groupBy(*keys, "__i", "__x")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
-    by_key = Window.partitionBy(*keys)
-    coarse = (
-        fine.groupBy(*keys, "__bin")
-        .agg(F.sum("__c").alias("__bc"))
-        .withColumn("n", F.sum("__bc").over(by_key))
-        .withColumn(
-            "__before",
-            F.sum("__bc").over(by_key.orderBy("__bin").rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("__bc"),
-        )
+    order = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first())
+    ranked = attach(counted, bounds.select(*keys, "n"), keys).withColumn(
+        "__end", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
-    # zero-based ranks around each quantile: floor and ceiling of p * (n - 1)
-    lows = [F.floor(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
-    highs = [F.ceil(F.lit(float(p)) * (F.col("n") - 1)) for p in probs]
 
-    def covers(rank, before, count):
-        return (before <= rank) & (rank < before + count)
+    def value_at(i: int, rank):
+        inside = (F.col("__i") == i) & (F.col("__end") > rank) & (F.col("__end") - F.col("__c") <= rank)
+        return F.max(F.when(inside, F.col("__x")))
 
-    wanted = coarse.where(
-        F.exists(
-            F.array(*lows, *highs),
-            lambda r: covers(r, F.col("__before"), F.col("__bc")),
-        )
-    )
-    ordered = Window.partitionBy(*keys, "__bin").orderBy("__v")
-    ranked = (
-        null_safe_join(fine, wanted, [*keys, "__bin"])
-        .withColumn(
-            "__start",
-            F.col("__before")
-            + F.sum("__c").over(ordered.rowsBetween(Window.unboundedPreceding, 0))
-            - F.col("__c"),
-        )
-    )
-    at = lambda rank: F.max(F.when(covers(rank, F.col("__start"), F.col("__c")), F.col("__v")))
-    picked = ranked.groupBy(*keys, "n").agg(
-        *[at(lo).alias(f"__l{i}") for i, lo in enumerate(lows)],
-        *[at(hi).alias(f"__h{i}") for i, hi in enumerate(highs)],
-    )
-    parts = []
+    picks = []
+    for i, p in enumerate(probs):
+        h = F.lit(float(p)) * (F.col("n") - 1)
+        picks += [value_at(i, F.floor(h)).alias(f"__l{i}"), value_at(i, F.ceil(h)).alias(f"__h{i}")]
+    picked = ranked.groupBy(*keys, "n").agg(*picks)
+    out = []
     for i, (p, name) in enumerate(zip(probs, names)):
         h = F.lit(float(p)) * (F.col("n") - 1)
         lo, hi = F.col(f"__l{i}"), F.col(f"__h{i}")
-        parts.append((lo + (h - F.floor(h)) * (hi - lo)).alias(name))
-    return picked.select(*keys, *parts, "n")
+        missed = F.raise_error(F.lit("a sketch did not bound its rank")).cast("double")
+        # no step between equal values: infinities have no difference
+        between = F.when(lo == hi, lo).otherwise(lo + (h - F.floor(h)) * (hi - lo))
+        out.append(F.when(lo.isNull() | hi.isNull(), missed).otherwise(between).alias(name))
+    return picked.select(*keys, *out, "n")
 
 
 def iqr(df: DataFrame, keys: Sequence[str], col: str, approx: bool = False) -> DataFrame:

@@ -15,8 +15,14 @@ NEST_ROWS = 50_000
 def to_wide(
     df: DataFrame, keys: Sequence[str], names_from: str, values_from: str, names: Sequence
 ) -> DataFrame:
-    """Long to wide with a given list of names, so no extra job finds them."""
-    return df.groupBy(*keys).pivot(names_from, list(names)).agg(F.first(values_from, ignorenulls=True))
+    """Long to wide with a given list of names, so no extra job finds them.
+
+    Two values for one cell are refused.
+    """
+    one = F.when(F.count(values_from) <= 1, F.max(values_from)).otherwise(
+        F.raise_error(F.lit(f"more than one value of {values_from} for a row and a column")).cast(df.schema[values_from].dataType)
+    )
+    return df.groupBy(*keys).pivot(names_from, list(names)).agg(one)
 
 
 def to_long(
@@ -53,16 +59,16 @@ def feature_wide(
 def nest_group(
     df: DataFrame, keys: Sequence[str], name: str = "data", max_rows: int = NEST_ROWS
 ) -> DataFrame:
-    """Rows of a group as an array of structs.
+    """Rows of a group as arrays of structs, numbered by ``part``.
 
-    A group with more than ``max_rows`` rows is spread over several nested rows
-    (column ``part``), so no array grows with the largest group.
+    A group has one part for each ``max_rows`` rows it begins, so no array grows with
+    the largest group. Rows are dealt to parts in turn, whatever their values.
     """
     rest = [c for c in df.columns if c not in keys]
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("__parts"))
     return (
         attach(df, sizes, keys)
-        .withColumn("part", F.pmod(F.xxhash64(*rest), F.col("__parts")).cast("int"))
+        .withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")).cast("int"))
         .groupBy(*keys, "part")
         .agg(F.collect_list(F.struct(*rest)).alias(name))
     )

@@ -46,7 +46,7 @@ def rebase_after(
     """Each series as if its trend had stopped in a base year, long by ``type``.
 
     Up to the base year the value is the observed one, after it the residual plus
-    the fit in the base year. ``type`` is ``OBS`` or ``y`` and two digits. A series
+    the fit in the base year. ``type`` is ``OBS`` or ``y`` and the year. A series
     without the base year has null values after it. ``strict`` refuses series with
     two rows in one year. ``legacy_first`` leaves the first scenario unrebased.
     """
@@ -69,7 +69,7 @@ def rebase_after(
     for i, b in enumerate(base_years):
         level = F.col("fitted") if legacy_first and i == 0 else F.col(f"__b{b}")
         stopped = F.when(F.col(x) <= b, F.col(y)).otherwise(F.col("resid") + level)
-        branches.append(branch(f"y{b % 100:02d}", stopped.cast("double")))
+        branches.append(branch(f"y{b}", stopped.cast("double")))
     if keep_fitted:
         branches.append(branch("fitted", F.col("fitted")))
     kept = [c for c in trend.columns if c not in (y, "fitted", "resid", "aic")]

@@ -12,7 +12,7 @@ from furrow.functions.filters import model_rows
 from furrow.functions.keys import attach, complete
 from furrow.operators.aggregates import uniform_from
 from furrow.operators.gram import gram, training_matrices
-from furrow.operators.linear import fit_models, predict
+from furrow.operators.linear import PATH, fit_models, predict
 from furrow.operators.quality import gof
 
 TWO_FOLDS = (0.5, 1.0)
@@ -87,6 +87,8 @@ def cross_validate(
     observed: str | None = None,
     response_is_log: bool = True,
     salt: int = 42,
+    max_ncomp: int | None = None,
+    steps: int = PATH,
 ) -> tuple[DataFrame, DataFrame]:
     """(quality, predictions) of models fitted per group without the held-out block.
 
@@ -99,7 +101,7 @@ def cross_validate(
     folded = inner_folds(block_folds(usable, block, cuts, salt), row_keys or [*keys, block], inner)
     sums = gram(folded, [*keys, "fold", "inner"], features, y)
     training = training_matrices(sums, [*keys, "inner"], "fold", labels)
-    fits = fit_models(training, [*keys, "fold"], models)
+    fits = fit_models(training, [*keys, "fold"], models, max_ncomp, steps)
     scored = predict(fits, folded, [*keys, "fold"], features)
     simulated = F.exp("pred") if response_is_log else F.col("pred")
     quality = gof(scored.withColumn("simulated", simulated), ["model"], "simulated", observed or y)
@@ -108,23 +110,24 @@ def cross_validate(
 
 def calibrate(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, models: Sequence[str],
-    row_keys: Sequence[str], inner: int = 10,
+    row_keys: Sequence[str], inner: int = 10, max_ncomp: int | None = None, steps: int = PATH,
 ) -> DataFrame:
     """In-sample predictions of several models, long by ``model``."""
     keys = list(keys)
     rows = inner_folds(complete(df, [y, *features]), row_keys, inner)
-    fits = fit_models(gram(rows, [*keys, "inner"], features, y), keys, models)
+    fits = fit_models(gram(rows, [*keys, "inner"], features, y), keys, models, max_ncomp, steps)
     return predict(fits, rows.drop("inner"), keys, features)
 
 
 def predict_scenarios(
     df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, models: Sequence[str],
     row_keys: Sequence[str], type_col: str = "type", ref: str = "OBS", inner: int = 10,
+    max_ncomp: int | None = None, steps: int = PATH,
 ) -> DataFrame:
     """Fit on the observed rows of each group, predict the rows of every type."""
     keys = list(keys)
     observed = inner_folds(df.where(F.col(type_col) == ref), row_keys, inner)
-    fits = fit_models(gram(observed, [*keys, "inner"], features, y), keys, models)
+    fits = fit_models(gram(observed, [*keys, "inner"], features, y), keys, models, max_ncomp, steps)
     return predict(fits, complete(df, list(features)), keys, features)
 
 
@@ -135,7 +138,7 @@ def mix_scenarios(
     """Wide features with a scenario chosen per variable.
 
     ``choice`` maps a variable to the column values to keep, such as
-    ``{"Tn": {"type": "y97"}, "PR": {"type": "OBS"}}``.
+    ``{"Tn": {"type": "y1997"}, "PR": {"type": "OBS"}}``.
     """
     def cell(variable: str, wanted: dict[str, str]):
         keep = F.col(var_col) == variable

@@ -166,10 +166,13 @@ def _(spark, d):
     )
 
 
+PART_TYPES = ["ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL", "STANDARD"]
+
+
 @query("p21_one_hot", """
-SELECT p_partkey, CAST(p_type = 'LARGE' AS INTEGER) AS p_type_LARGE, CAST(p_type = 'SMALL' AS INTEGER) AS p_type_SMALL FROM part""")
+SELECT p_partkey, """ + ", ".join(f"CAST(p_type = '{t}' AS INTEGER) AS p_type_{t}" for t in PART_TYPES) + " FROM part")
 def _(spark, d):
-    return C.one_hot(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", ["LARGE", "SMALL"]).drop("p_type")
+    return C.one_hot(table(spark, d, "part").select("p_partkey", "p_type"), "p_type", PART_TYPES).drop("p_type")
 
 
 @query("p22_derive_variable", f"""WITH {WEATHER}
@@ -300,10 +303,9 @@ def _(spark, d):
 
 
 @query("j4_inner_many_to_many", """
-SELECT l_partkey, l_orderkey, l_linenumber, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey
-WHERE l_quantity > 45""")
+SELECT l_partkey, l_orderkey, l_linenumber, s_suppkey, s_name FROM lineitem JOIN supplier ON l_suppkey = s_suppkey""")
 def _(spark, d):
-    items = table(spark, d, "lineitem").where("l_quantity > 45").select(
+    items = table(spark, d, "lineitem").select(
         "l_partkey", "l_orderkey", "l_linenumber", F.col("l_suppkey").alias("s_suppkey")
     )
     return null_safe_join(items, table(spark, d, "supplier").select("s_suppkey", "s_name"), ["s_suppkey"])
@@ -413,15 +415,12 @@ def _(spark, d):
 
 @query("r3_feature_wide", f"""WITH {WEATHER}
 SELECT departement, year_cal, {', '.join(r(f"max(CASE WHEN clim_var = '{v}' AND month = {m} THEN {e} END)", f'"{v}_{n}_{m}"')
- for v in ('Tn', 'PR') for n, e in (('OBS', 'value'), ('dev', 'value - 25')) for m in (4, 5, 10))}
-FROM wl WHERE clim_var IN ('Tn', 'PR') AND month IN (4, 5, 10) GROUP BY departement, year_cal""")
+ for v in ('Tn', 'Tx', 'PR', 'ETP') for n, e in (('OBS', 'value'), ('dev', 'value - 25')) for m in range(1, 13))}
+FROM wl GROUP BY departement, year_cal""")
 def _(spark, d):
-    w = (
-        weather_long(spark, d)
-        .where(F.col("clim_var").isin("Tn", "PR") & F.col("month").isin(4, 5, 10))
-        .withColumns({"OBS": F.col("value"), "dev": F.col("value") - 25})
-    )
-    out = R.feature_wide(w, ["departement", "year_cal"], "clim_var", ["OBS", "dev"], ["Tn", "PR"], "month", [4, 5, 10])
+    w = weather_long(spark, d).withColumns({"OBS": F.col("value"), "dev": F.col("value") - 25})
+    variables = ["Tn", "Tx", "PR", "ETP"]
+    out = R.feature_wide(w, ["departement", "year_cal"], "clim_var", ["OBS", "dev"], variables, "month", list(range(1, 13)))
     return round_doubles(out)
 
 

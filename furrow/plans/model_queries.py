@@ -146,7 +146,7 @@ def _(spark, d):
 INNER = "CAST(floor(" + uniform("departement || '|' || CAST(year AS VARCHAR) || '|' || CAST(month AS VARCHAR)", 7) + " * 10) AS INTEGER) AS inner_fold"
 
 
-def _lasso_cv_sql(steps: int = 50, sweeps: int = 300) -> str:
+def _lasso_cv_sql(steps: int = 100, sweeps: int = 300) -> str:
     """Coordinate descent for every group, left-out part (-1: none) and penalty at once."""
     f = ["tn", "gp", "pr", "etp"]
     cor = ", ".join(f"corr({f[i]}, {f[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
@@ -340,11 +340,11 @@ def _(spark, d):
     return V.block_folds(V.block_folds(rows, "year", V.TWO_FOLDS, out="fold2"), "year", V.FOUR_FOLDS, out="fold4")
 
 
-@query("m17_cv_split", f"""WITH {PANEL}, f AS (SELECT departement, year, month, {fold_sql('year', (0.5, 1.0))} AS fold FROM mp WHERE yield < 1900 AND departement <> 'NATION_7'),
+@query("m17_cv_split", f"""WITH {PANEL}, f AS (SELECT departement, year, month, {fold_sql('year', (0.5, 1.0))} AS fold FROM mp WHERE departement <> 'NATION_7'),
 k AS (SELECT departement, round FROM f, (VALUES ('Y1'), ('Y2')) t(round) GROUP BY ALL HAVING count(CASE WHEN fold = round THEN 1 END) > 0 AND count(CASE WHEN fold <> round THEN 1 END) > 0)
 SELECT departement, year, month, fold, round, CASE WHEN fold = round THEN 'val' ELSE 'cal' END AS role FROM f JOIN k USING (departement)""")
 def _(spark, d):
-    rows = V.block_folds(month_panel(spark, d).where("yield < 1900").select(*ROW), "year")
+    rows = V.block_folds(month_panel(spark, d).select(*ROW), "year")
     return V.cv_split(rows, "fold", ["departement"], V.fold_labels(V.TWO_FOLDS), {"departement": ["NATION_7"]})
 
 
@@ -421,12 +421,12 @@ def _(spark, d):
 
 
 @query("m20_mix_scenarios", f"""WITH {REBASE}
-SELECT departement, month, year_cal, {r("max(CASE WHEN clim_var = 'Tn' AND type = 'y97' THEN value END)", '"Tn"')},
+SELECT departement, month, year_cal, {r("max(CASE WHEN clim_var = 'Tn' AND type = 'y1997' THEN value END)", '"Tn"')},
  {r("max(CASE WHEN clim_var = 'PR' AND type = 'OBS' THEN value END)", '"PR"')}, 'Tn97' AS type FROM sc GROUP BY departement, month, year_cal""")
 def _(spark, d):
     return round_doubles(
         V.mix_scenarios(
-            scenarios(spark, d), ["departement", "month", "year_cal"], {"Tn": {"type": "y97"}, "PR": {"type": "OBS"}}, label="Tn97"
+            scenarios(spark, d), ["departement", "month", "year_cal"], {"Tn": {"type": "y1997"}, "PR": {"type": "OBS"}}, label="Tn97"
         )
     )
 
@@ -445,9 +445,9 @@ def _(spark, d):
 
 @query("m22_impact_classes", f"""WITH {IMPACT} SELECT n_name AS departement,
  CASE WHEN pct >= -100 AND pct <= -1 THEN '[-100,-1]' WHEN pct > -1 AND pct <= 0 THEN '(-1,0]' WHEN pct > 0 AND pct <= 1 THEN '(0,1]' WHEN pct > 1 AND pct <= 100 THEN '(1,100]' END AS class
- FROM nation LEFT JOIN (SELECT * FROM mi WHERE type = 'y97') ON departement = n_name""")
+ FROM nation LEFT JOIN (SELECT * FROM mi WHERE type = 'y1997') ON departement = n_name""")
 def _(spark, d):
-    effect = impact.scenario_impact(scenario_predictions(spark, d), [*ROW, "model"]).where("type = 'y97'")
+    effect = impact.scenario_impact(scenario_predictions(spark, d), [*ROW, "model"]).where("type = 'y1997'")
     units = spark.read.parquet(f"{d}/nation.parquet").select(F.col("n_name").alias("departement"))
     mean = impact.mean_impact(effect, ["departement"])
     return impact.impact_classes(mean, "diff_pct", [-100, -1, 0, 1, 100], units).select("departement", "class")

@@ -123,7 +123,7 @@ MONTH_SERIES = ["departement", "clim_var", "month"]
 REBASE = WEATHER + "," + poly_sql("wl", "departement, clim_var, month", "year_cal", "value") + """,
 sc AS (SELECT departement, clim_var, month, year_cal, 'OBS' AS type, value FROM pf""" + "".join(
     f"""
- UNION ALL SELECT departement, clim_var, month, year_cal, 'y{b % 100:02d}', CASE WHEN year_cal <= {b} THEN value
+ UNION ALL SELECT departement, clim_var, month, year_cal, 'y{b}', CASE WHEN year_cal <= {b} THEN value
   ELSE value - f1 + max(CASE WHEN year_cal = {b} THEN f1 END) OVER (PARTITION BY departement, clim_var, month) END FROM pf"""
     for b in BASES
 ) + ")"

@@ -51,10 +51,9 @@ def skewed(spark):
     )
 
 
-@pytest.mark.parametrize("limit", [500_000, 100, 0])
-def test_quantiles_by_both_ways(skewed, monkeypatch, limit):
-    monkeypatch.setattr(Q, "IN_MEMORY", limit)
-    monkeypatch.setattr(Q, "BINS", 16)
+@pytest.mark.parametrize("accuracy", [10_000, 200])
+def test_quantiles_of_slices_and_of_whole_groups(skewed, monkeypatch, accuracy):
+    monkeypatch.setattr(Q, "ACCURACY", accuracy)
     got = {r["k"]: r for r in Q.group_quantiles(skewed, ["k"], "v", [0.25, 0.5, 0.9], ["a", "b", "c"]).collect()}
     pdf = skewed.toPandas()
     assert set(got) == set(pdf["k"])
@@ -70,6 +69,42 @@ def test_quantiles_of_whole_table_and_nulls(spark):
     assert (r["a"], r["b"], r["n"]) == (1.75, 3.0, 4)
 
 
+def test_quantiles_with_far_values_and_nan(spark, monkeypatch):
+    monkeypatch.setattr(Q, "ACCURACY", 500)
+    df = spark.range(20_000).select(
+        F.lit("g").alias("k"),
+        F.when(F.col("id") == 7, 1e15).when(F.col("id") == 8, float("-inf")).when(F.col("id") < 4, float("nan"))
+        .otherwise((F.col("id") * 7919 % 20_011).cast("double")).alias("v"),
+    )
+    got = Q.group_quantiles(df, ["k"], "v", [0.0, 0.1, 0.5, 0.9], ["a", "b", "c", "d"]).first()
+    v = np.sort(df.toPandas()["v"].to_numpy())  # NaN last, as in Spark
+    for name, p in (("b", 0.1), ("c", 0.5), ("d", 0.9)):
+        h = p * (len(v) - 1)
+        assert got[name] == pytest.approx(v[int(h)] + (h - int(h)) * (v[int(np.ceil(h))] - v[int(h)]))
+    assert got["a"] == float("-inf") and got["n"] == 20_000
+
+
+def test_wide_form_refuses_two_values_for_a_cell(spark):
+    df = spark.createDataFrame([("a", "x", 1.0), ("a", "x", 1.0), ("b", "y", None)], "k string, n string, v double")
+    with pytest.raises(Exception, match="more than one value"):
+        R.to_wide(df, ["k"], "n", "v", ["x", "y"]).collect()
+    assert {tuple(r) for r in R.to_wide(df.distinct(), ["k"], "n", "v", ["x", "y"]).collect()} == {("a", 1.0, None), ("b", None, None)}
+
+
+def test_nest_splits_equal_rows(spark):
+    nested = R.nest_group(spark.range(5000).select(F.lit("k").alias("k"), F.lit(1).alias("v")), ["k"], max_rows=500)
+    assert nested.agg(F.max(F.size("data"))).first()[0] < 1000 and nested.count() == 10
+
+
+def test_full_join_splits_into_two_joins(spark):
+    from furrow.functions.keys import null_safe_join
+
+    a = spark.createDataFrame([(1, "a"), (None, "b"), (2, "c")], "k int, x string")
+    b = spark.createDataFrame([(1, 10), (None, 20), (3, 30)], "k int, y int")
+    got = {tuple(r) for r in null_safe_join(a, b, ["k"], "full").collect()}
+    assert got == {(1, "a", 10), (None, "b", 20), (2, "c", None), (3, None, 30)}
+
+
 def test_nest_splits_large_groups(skewed):
     df = skewed.withColumn("i", F.monotonically_increasing_id())
     nested = R.nest_group(df, ["k"], max_rows=500)
@@ -140,9 +175,9 @@ def test_rebase_without_base_year_and_legacy(spark):
     df = spark.createDataFrame([("a", 2000 + i, float(i)) for i in range(5)], "k string, year int, v double")
     trend = poly_trend(df, ["k"], "year", "v")
     out = {(r["type"], r["year"]): r["value"] for r in rebase_after(trend, ["k"], "year", "v", [1990, 2002], legacy_first=True).collect()}
-    assert out[("y90", 2003)] == pytest.approx(3.0) and out[("y02", 2004)] == pytest.approx(2.0)
+    assert out[("y1990", 2003)] == pytest.approx(3.0) and out[("y2002", 2004)] == pytest.approx(2.0)
     gone = {(r["type"], r["year"]): r["value"] for r in rebase_after(trend, ["k"], "year", "v", [1990]).collect()}
-    assert gone[("y90", 2003)] is None
+    assert gone[("y1990", 2003)] is None
     diff = scenario_difference(rebase_after(trend, ["k"], "year", "v", [2002]), ["k", "year"])
     assert max(r["difference"] for r in diff.collect()) == pytest.approx(2.0)
 

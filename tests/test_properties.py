@@ -59,6 +59,35 @@ def test_both_gram_forms_agree(rows):
         np.testing.assert_allclose(few[g][1], many[g][1], rtol=1e-10)
 
 
+def test_gram_keeps_large_and_null_keys(spark):
+    big = 9007199254740993
+    data = [(k, float(i), float(i * i % 7), float(i % 5)) for k in (big, big - 1, None) for i in range(8)]
+    df = spark.createDataFrame(data, "g long, a double, b double, y double").coalesce(1)
+    few = by_group(gram(df, ["g"], ["a", "b"], "y"), "rows", "m")
+    many = by_group(gram(df, ["g"], ["a", "b"], "y", native_limit=0), "rows", "m")
+    assert set(few) == set(many) == {big, big - 1, None}
+    for g in few:
+        assert few[g][0] == many[g][0] == 8
+        np.testing.assert_allclose(few[g][1], many[g][1])
+
+
+def test_penalised_fits_are_optima():
+    rng = np.random.default_rng(4)
+    t = rng.normal(15, 3, (60, 4))
+    x = np.c_[t, t * t]  # columns and their squares: nearly collinear
+    y = x @ np.r_[np.linspace(-1, 1, 4), np.full(4, 0.02)] + rng.normal(0, 1, 60)
+    g = matrix(x, y)
+    path = S.penalty_path(g, 1.0)
+    intercepts, coefs, done = S.elastic_net(g, 1.0, path)
+    assert len(path) == 100 and done.all()
+    sx = x.std(axis=0)
+    for a, b, lam in zip(intercepts, coefs, path):
+        slope = (x - x.mean(axis=0)).T @ (y - a - x @ b) / len(y) / sx
+        assert (np.abs(slope) <= lam * (1 + 1e-6) + 1e-8).all()
+        on = b != 0
+        np.testing.assert_allclose(slope[on], lam * np.sign(b[on]), rtol=1e-5, atol=1e-8)
+
+
 def test_weighted_and_pooled_gram(rows, data):
     pooled = gram(rows.withColumn("w", F.lit(2.0)), [], FEATURES, "y", "w", native_limit=0).first()
     x = np.array([r[3:6] for r in data])
@@ -91,7 +120,7 @@ def test_penalty_zero_is_ols_and_ridge_closed_form(data):
     x, y = dense(data, "g1")
     g = matrix(x, y)
     fit = S.least_squares(g)
-    _, b = S.elastic_net(g, 1.0, [0.0])
+    _, b, _ = S.elastic_net(g, 1.0, [0.0])
     np.testing.assert_allclose(b[0], fit["coef"], atol=1e-6)
     n, sx, sy = len(y), x.std(0), y.std()
     zx, zy = (x - x.mean(0)) / sx, (y - y.mean()) / sy
@@ -103,7 +132,7 @@ def test_penalty_zero_is_ols_and_ridge_closed_form(data):
 def test_lasso_optimality(data):
     x, y = dense(data, "g2")
     lam, n, sx = 0.1, len(y), x.std(0)
-    a, b = S.elastic_net(matrix(x, y), 1.0, [lam])
+    a, b, _ = S.elastic_net(matrix(x, y), 1.0, [lam])
     gradient = ((x - x.mean(0)) / sx).T @ (y - a[0] - x @ b[0]) / n
     for grad, coef in zip(gradient, b[0]):
         assert abs(grad - np.sign(coef) * lam) < 1e-6 if coef else abs(grad) <= lam + 1e-6
@@ -239,9 +268,9 @@ def test_loess_is_exact_on_a_parabola_and_takes_duplicates(spark):
 def test_detrended_line_is_flat_after_base_year(spark):
     trend = detrend(series(spark, lambda i: 3 + 0.5 * i), ["k"], "year", "v", ["lin"])
     out = {(r["type"], r["year"]): r["value"] for r in rebase_after(trend, ["k", "method"], "year", "v", [1999, 2005]).collect()}
-    assert out[("y99", 1995)] == out[("OBS", 1995)]
-    assert out[("y99", 2010)] == pytest.approx(out[("OBS", 1999)])
-    assert out[("y05", 2004)] == out[("OBS", 2004)] and out[("y05", 2013)] == pytest.approx(out[("OBS", 2005)])
+    assert out[("y1999", 1995)] == out[("OBS", 1995)]
+    assert out[("y1999", 2010)] == pytest.approx(out[("OBS", 1999)])
+    assert out[("y2005", 2004)] == out[("OBS", 2004)] and out[("y2005", 2013)] == pytest.approx(out[("OBS", 2005)])
 
 
 def test_spline_trend_skips_short_and_flat(spark):
