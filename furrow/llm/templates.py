@@ -110,7 +110,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     index = written(benchmark_windows(items), "template-windows")
     few = index.count() <= BROADCAST_WINDOWS
-    pieces = docs.select("doc_id", windows_of(tokens_of(F.col("text"))).alias("w")).select("doc_id", F.inline("w"))
+    # the outer form: the other one makes the optimiser test the arrays for rows, and compute them twice for that
+    pieces = docs.select("doc_id", windows_of(tokens_of(F.col("text"))).alias("w")).select("doc_id", F.inline_outer("w"))
     met = pieces.join(F.broadcast(index) if few else index, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("item"), F.col(b).alias("doc")))
     # a match has at most as many rows as the item has windows
