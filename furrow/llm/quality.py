@@ -247,8 +247,8 @@ def quality_report(docs: DataFrame) -> DataFrame:
         "doc_id",
         *[c(x).alias(x) for x in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")],
         c("near.lang").alias("nearest_lang"),
-        F.round(c("near.by_class"), 9).alias("class_distance"),
-        F.round(c("near.by_word"), 9).alias("word_distance"),
+        F.round(c("near.by_class"), 6).alias("class_distance"),
+        F.round(c("near.by_word"), 6).alias("word_distance"),
     )
 
 
@@ -257,3 +257,50 @@ def sound_documents(docs: DataFrame) -> DataFrame:
     all_columns = with_columns_of(docs, {"text": "string", "lang": "string"})
     features = written(count_features(all_columns), "quality-documents")
     return judged(features, language_references(features)).where(F.col(_Q + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
+def _report_sql() -> str:
+    quoted = lambda ws: ", ".join(f"'{w}'" for w in ws)
+    words = r"[^\x20\x09-\x0D]+"
+    count = lambda pattern: f"length(regexp_replace(rest, '{pattern}', '', 'g'))"
+    marks = "".join("''" if x == "'" else "\\" + x for x in SENTENCE_MARKS)
+    known = _known()
+    spelled = known + [w[:1].upper() + w[1:] for w in known]
+    pairs = ", ".join(f"('{lang}', '{w}')" for lang, ws in COMMON_WORDS.items() for w in ws)
+    return f"""
+WITH d AS (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS t, lang FROM documents),
+a AS (SELECT *, regexp_extract_all(t, '{words}') AS w, regexp_replace(t, '[a-z\\x20\\x09-\\x0D]+', '', 'g') AS rest,
+  [x FOR x IN string_split(t, chr(10)) IF regexp_matches(x, '{words}')] AS l FROM d),
+n AS (SELECT i, doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars, length(rest) AS n_rest,
+  length(rest) - {count('[#*$%&|<>]+')} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+  {count('[^A-Z]+')} AS c1, {count('[^0-9]+')} AS c2, {count(f'[^{marks}]+')} AS c3, {count(r'[^\x21-\x7E]+')} AS ascii FROM a),
+u AS (SELECT i, unnest(w) AS x, generate_subscripts(w, 1) AS k FROM a),
+v AS (SELECT i, k, x, lead(x, 1) OVER s AS y, lead(x, 2) OVER s AS z FROM u WINDOW s AS (PARTITION BY i ORDER BY k)),
+g AS (SELECT i, k, z IS NOT NULL AND count(*) OVER (PARTITION BY i, x, y, z) > 1 AS twice FROM v),
+r AS (SELECT i, count(*) FILTER (inside) AS n_repeat_words FROM (
+  SELECT i, bool_or(twice) OVER (PARTITION BY i ORDER BY k ROWS 2 PRECEDING) AS inside FROM g) GROUP BY i),
+b AS (SELECT n.*, coalesce(n_repeat_words, 0) AS n_repeat_words,
+  n_words < {MIN_WORDS} OR 100 * coalesce(n_repeat_words, 0) > {MAX_REPEATED} * n_words AS base_failed FROM n LEFT JOIN r USING (i)),
+c AS (SELECT i, unnest([0, 1, 2, 3, 4, 5]) AS bin, unnest([word_chars - n_rest, c1, c2, c3, ascii - c1 - c2 - c3, n_rest - ascii]) AS n FROM b),
+h AS (SELECT i, lower(x) AS word, count(*) AS n FROM u WHERE x IN ({quoted(spelled)}) GROUP BY ALL),
+cw AS (SELECT * FROM (VALUES {pairs}) t(lang2, word)),
+hw AS (SELECT b.i, lang2, cw.word, coalesce(h.n, 0) AS n FROM b CROSS JOIN cw LEFT JOIN h ON h.i = b.i AND h.word = cw.word),
+wb AS (SELECT i, lang2, word, n FROM hw UNION ALL SELECT i, lang2, NULL, min(n_words) - sum(n) FROM hw JOIN b USING (i) GROUP BY i, lang2),
+rc AS (SELECT lang AS lang2, bin, sum(n) AS n FROM c JOIN b USING (i) WHERE lang IN ({quoted(COMMON_WORDS)}) AND NOT base_failed GROUP BY ALL),
+rw AS (SELECT lang2, word, sum(n) AS n FROM wb JOIN b USING (i) WHERE lang = lang2 AND NOT base_failed GROUP BY ALL),
+pc AS (SELECT i, bin, n / nullif(sum(n) OVER (PARTITION BY i), 0) AS p FROM c),
+qc AS (SELECT lang2, bin, n / nullif(sum(n) OVER (PARTITION BY lang2), 0) AS q FROM rc),
+pw AS (SELECT i, lang2, word, n / nullif(sum(n) OVER (PARTITION BY i, lang2), 0) AS p FROM wb),
+qw AS (SELECT lang2, word, n / nullif(sum(n) OVER (PARTITION BY lang2), 0) AS q FROM rw),
+dc AS (SELECT i, lang2, sqrt(least(greatest(sum({_TERM_SQL}) / 2, 0), 1)) AS by_class FROM pc JOIN qc USING (bin) WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL),
+dw AS (SELECT i, pw.lang2, sqrt(least(greatest(sum({_TERM_SQL}) / 2, 0), 1)) AS by_word
+  FROM pw JOIN qw ON pw.lang2 = qw.lang2 AND pw.word IS NOT DISTINCT FROM qw.word WHERE p IS NOT NULL AND q IS NOT NULL GROUP BY ALL),
+near AS (SELECT * FROM dc JOIN dw USING (i, lang2) QUALIFY row_number() OVER (PARTITION BY i ORDER BY by_class + by_word, by_class, by_word, lang2) = 1)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+  NOT base_failed AND NOT coalesce((word_chars >= {MIN_CHARS_JUDGED} AND by_class > {MAX_CLASS_DISTANCE}) OR (n_words >= {MIN_WORDS_JUDGED} AND by_word > {MAX_WORD_DISTANCE}), false) AS kept,
+  lang2 AS nearest_lang, round(by_class, 6) AS class_distance, round(by_word, 6) AS word_distance
+FROM b LEFT JOIN near USING (i)"""
+
+
+_TERM_SQL = "CASE WHEN p > 0 THEN p * log2(2 * p / (p + q)) ELSE 0 END + CASE WHEN q > 0 THEN q * log2(2 * q / (p + q)) ELSE 0 END"
+REPORT_SQL = _report_sql()

@@ -11,7 +11,7 @@ from furrow.llm.registry import query, table
 SHARD_BYTES = 1 << 20
 
 
-@query("op1_quality_divergence")
+@query("op1_quality_divergence", quality.REPORT_SQL)
 def quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(table(spark, sf_dir, "documents"))
 
