@@ -24,6 +24,20 @@ def multi_join(dfs: Sequence[DataFrame], keys: Sequence[str], how: str = "full")
     return reduce(lambda a, b: null_safe_join(a, b, keys, how), dfs)
 
 
+def keyed_bind(a: DataFrame, b: DataFrame, keys: Sequence[str], mismatch: str = "mark") -> DataFrame:
+    """Columns of two tables side by side, row by row of one key.
+
+    ``bound`` tells whether a key is in both tables or in the left or right one only; with
+    ``mismatch='refuse'`` the latter is an error.
+    """
+    both = null_safe_join(a.withColumn("__a", F.lit(True)), b.withColumn("__b", F.lit(True)), keys, "full")
+    where = F.when(F.col("__a").isNull(), "right").when(F.col("__b").isNull(), "left").otherwise("both")
+    if mismatch == "refuse":
+        error = F.raise_error(F.lit("a key is in one of the tables only")).cast("string")
+        where = F.when(where == "both", where).otherwise(error)
+    return both.withColumn("bound", where).drop("__a", "__b")
+
+
 def mutual_domain(
     a: DataFrame, b: DataFrame, keys: Sequence[str]
 ) -> tuple[DataFrame, DataFrame]:

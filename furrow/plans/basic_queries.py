@@ -338,11 +338,16 @@ def _(spark, d):
     return a.withColumn("side", F.lit("cal")).unionByName(b.withColumn("side", F.lit("val"))).drop("yield")
 
 
-@query("j9_keyed_bind", f"""WITH {WIDE}
-SELECT departement, year, month, {r('tn', 'Tn')}, {r('tn * tn', 'Tn2')}, {r('tx - tn', 'gap')} FROM ww""")
+@query("j9_keyed_bind", """WITH s AS (SELECT s_nationkey AS nationkey, s_acctbal < 0 AS debt, count(*) AS suppliers FROM supplier GROUP BY ALL),
+c AS (SELECT c_nationkey AS nationkey, c_acctbal < 0 AS debt, count(*) AS customers FROM customer GROUP BY ALL)
+SELECT nationkey, debt, suppliers, customers, CASE WHEN suppliers IS NULL THEN 'right' WHEN customers IS NULL THEN 'left' ELSE 'both' END AS bound
+FROM s FULL JOIN c USING (nationkey, debt)""")
 def _(spark, d):
-    w = weather_wide(spark, d).withColumns({"Tn2": F.col("Tn") * F.col("Tn"), "gap": F.col("Tx") - F.col("Tn")})
-    return round_doubles(w.drop("Tx", "PR", "ETP"))
+    def per_nation(name: str, prefix: str, out: str):
+        keys = [F.col(f"{prefix}_nationkey").alias("nationkey"), (F.col(f"{prefix}_acctbal") < 0).alias("debt")]
+        return table(spark, d, name).groupBy(*keys).agg(F.count(F.lit(1)).alias(out))
+
+    return J.keyed_bind(per_nation("supplier", "s", "suppliers"), per_nation("customer", "c", "customers"), ["nationkey", "debt"])
 
 
 @query("j10_grid", f"""WITH {YIELD}

@@ -231,14 +231,15 @@ def _(spark, d):
     return round_doubles(linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], 3))
 
 
-@query("m7_select_ncomp", f"""WITH {PANEL}, e AS (SELECT departement, month - 1 AS ncomp, year AS part, tn AS rmsep, area AS rows FROM mp WHERE month <= 6),
+@query("m7_select_ncomp", f"""WITH {PANEL}, {_pls_cv_sql(4)},
+e AS (""" + " UNION ALL ".join(
+    f"SELECT departement, inner_fold AS part, {k} AS ncomp, sqrt(avg(v{k} * v{k})) AS rmsep, count(*)::DOUBLE AS rows FROM q4 WHERE inner_fold = part GROUP BY ALL" for k in range(5)) + """),
 c AS (SELECT departement, ncomp, sqrt(sum(rmsep * rmsep * rows) / sum(rows)) AS rm, stddev_samp(rmsep) / sqrt(count(*)) AS se FROM e GROUP BY ALL),
 b AS (SELECT departement, rm AS best, se AS bse FROM c QUALIFY row_number() OVER (PARTITION BY departement ORDER BY rm, ncomp) = 1)
 SELECT departement, CAST(greatest(min(ncomp), 1) AS INTEGER) AS ncomp FROM c JOIN b USING (departement) WHERE rm <= best + bse GROUP BY ALL""")
 def _(spark, d):
-    errors = month_panel(spark, d).where("month <= 6").select(
-        "departement", (F.col("month") - 1).alias("ncomp"), F.col("year").alias("part"), F.col("Tn").alias("rmsep"), F.col("area").alias("rows")
-    )
+    rows = V.inner_folds(month_panel(spark, d), ROW, 10)
+    errors = linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], len(FEATURES))
     return linear.select_ncomp(errors, ["departement"])
 
 
