@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 import pandas as pd
 from pyspark.ml.functions import vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.functions.keys import round_doubles, rounded
@@ -146,41 +149,45 @@ def _(spark, d):
 INNER = "CAST(floor(" + uniform("departement || '|' || CAST(year AS VARCHAR) || '|' || CAST(month AS VARCHAR)", 7) + " * 10) AS INTEGER) AS inner_fold"
 
 
-def _lasso_cv_sql(steps: int = 100, sweeps: int = 300) -> str:
-    """Coordinate descent for every group, left-out part (-1: none) and penalty at once."""
+def _net_cv_sql(alpha: float, tag: str, steps: int = 100, sweeps: int = 300) -> str:
+    """Coordinate descent for every group, left-out part (-1: none) and penalty at once; CTEs end in ``tag``."""
     f = ["tn", "gp", "pr", "etp"]
     cor = ", ".join(f"corr({f[i]}, {f[j]}) AS r{i}{j}" for i in range(4) for j in range(i + 1, 4))
     rr = lambda i, j: f"r{min(i, j)}{max(i, j)}"
 
     def update(j: int) -> str:
         rest = " - ".join([f"c{j}"] + [f"{rr(i, j)} * {'n' if i < j else 'b'}{i}" for i in range(4) if i != j])
-        return f"{rest} AS t{j}, sign(t{j}) * greatest(abs(t{j}) - lam, 0) AS n{j}"
+        return f"{rest} AS t{j}, sign(t{j}) * greatest(abs(t{j}) - lam * {alpha}, 0) / (1 + lam * {1 - alpha}) AS n{j}"
 
     bs = ", ".join(f"b{i}" for i in range(4))
     return f"""
-fo AS (SELECT *, tx - tn AS gp, {INNER} FROM mp),
-st AS (SELECT departement, part, {cor}, {', '.join(f'corr({x}, log_yield) AS c{i}, stddev_pop({x}) AS s{i}, avg({x}) AS m{i}' for i, x in enumerate(f))},
-  stddev_pop(log_yield) AS sy, avg(log_yield) AS my FROM fo, (SELECT unnest(range(-1, 10)) AS part) WHERE inner_fold <> part GROUP BY departement, part),
-pa AS (SELECT departement, k, sy * greatest(abs(c0), abs(c1), abs(c2), abs(c3)) * pow(1e-4, k / {steps - 1}.0) AS penalty FROM st, (SELECT unnest(range({steps})) AS k) WHERE part = -1),
-par AS (SELECT st.*, k, penalty, penalty / sy AS lam FROM st JOIN pa USING (departement)),
-cd AS (SELECT departement, part, k, 0 AS it, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(4))} FROM par
+fo{tag} AS (SELECT *, tx - tn AS gp, {INNER} FROM mp),
+st{tag} AS (SELECT departement, part, {cor}, {', '.join(f'corr({x}, log_yield) AS c{i}, stddev_pop({x}) AS s{i}, avg({x}) AS m{i}' for i, x in enumerate(f))},
+  stddev_pop(log_yield) AS sy, avg(log_yield) AS my FROM fo{tag}, (SELECT unnest(range(-1, 10)) AS part) WHERE inner_fold <> part GROUP BY departement, part),
+pa{tag} AS (SELECT departement, k, sy * greatest(abs(c0), abs(c1), abs(c2), abs(c3)) / {max(alpha, 1e-3)} * pow(1e-4, k / {steps - 1}.0) AS penalty FROM st{tag}, (SELECT unnest(range({steps})) AS k) WHERE part = -1),
+par{tag} AS (SELECT st{tag}.*, k, penalty, penalty / sy AS lam FROM st{tag} JOIN pa{tag} USING (departement)),
+cd{tag} AS (SELECT departement, part, k, 0 AS it, {', '.join(f'0.0::DOUBLE AS b{i}' for i in range(4))} FROM par{tag}
   UNION ALL SELECT departement, part, k, it + 1, n0, n1, n2, n3 FROM (
-    SELECT cd.departement, cd.part, cd.k, it, {', '.join(update(j) for j in range(4))}
-    FROM cd JOIN par ON cd.departement = par.departement AND cd.part = par.part AND cd.k = par.k WHERE it < {sweeps})),
-co AS (SELECT par.departement, par.part, par.k, penalty, my, {', '.join(f'b{i} * sy / s{i} AS k{i}, m{i}' for i in range(4))}
-  FROM (SELECT departement, part, k, {bs} FROM cd WHERE it = {sweeps}) cd JOIN par USING (departement, part, k)),
-er AS (SELECT fo.departement, k, sum(pow(log_yield - my - {' - '.join(f'k{i} * ({x} - m{i})' for i, x in enumerate(f))}, 2)) AS sse
-  FROM fo JOIN co ON fo.departement = co.departement AND fo.inner_fold = co.part GROUP BY ALL),
-be AS (SELECT departement, k FROM er QUALIFY row_number() OVER (PARTITION BY departement ORDER BY sse, k) = 1)"""
+    SELECT cd{tag}.departement, cd{tag}.part, cd{tag}.k, it, {', '.join(update(j) for j in range(4))}
+    FROM cd{tag} JOIN par{tag} ON cd{tag}.departement = par{tag}.departement AND cd{tag}.part = par{tag}.part AND cd{tag}.k = par{tag}.k WHERE it < {sweeps})),
+co{tag} AS (SELECT par{tag}.departement, par{tag}.part, par{tag}.k, penalty, my, {', '.join(f'b{i} * sy / s{i} AS k{i}, m{i}' for i in range(4))}
+  FROM (SELECT departement, part, k, {bs} FROM cd{tag} WHERE it = {sweeps}) cd JOIN par{tag} USING (departement, part, k)),
+er{tag} AS (SELECT fo{tag}.departement, k, sum(pow(log_yield - my - {' - '.join(f'k{i} * ({x} - m{i})' for i, x in enumerate(f))}, 2)) AS sse
+  FROM fo{tag} JOIN co{tag} ON fo{tag}.departement = co{tag}.departement AND fo{tag}.inner_fold = co{tag}.part GROUP BY ALL),
+be{tag} AS (SELECT departement, k FROM er{tag} QUALIFY row_number() OVER (PARTITION BY departement ORDER BY sse, k) = 1)"""
+
+
+NETS = {"lasso": 1.0, "ridge": 0.0, "elnet": 0.5}
 
 
-@query("m5_cv_elastic_net", f"""WITH RECURSIVE {PANEL}, {_lasso_cv_sql()}
-SELECT departement, {r('penalty', '"lambda"', 5)}, {', '.join(r(f'k{i}', f'"{n}"', 5) for i, n in enumerate(FEATURES))} FROM co JOIN be USING (departement, k) WHERE part = -1""")
+@query("m5_cv_elastic_net", f"""WITH RECURSIVE {PANEL}, {", ".join(_net_cv_sql(a, f"_{m}") for m, a in NETS.items())} """ + " UNION ALL ".join(
+    f"""SELECT departement, '{m}' AS model, {r('penalty', '"lambda"', 5)}, {', '.join(r(f'k{i}', f'"{n}"', 5) for i, n in enumerate(FEATURES))}
+FROM co_{m} JOIN be_{m} USING (departement, k) WHERE part = -1""" for m in NETS))
 def _(spark, d):
     rows = V.inner_folds(month_panel(spark, d), ROW, 10)
     table = gram(rows, ["departement", "inner"], FEATURES, "log_yield")
-    fits = linear.cv_elastic_net(table, ["departement"], 1.0, "lasso")
-    return round_doubles(fits.select("departement", "lambda", *[F.col("coef")[i].alias(n) for i, n in enumerate(FEATURES)]), 5)
+    fits = reduce(DataFrame.unionByName, [linear.cv_elastic_net(table, ["departement"], a, m) for m, a in NETS.items()])
+    return round_doubles(fits.select("departement", "model", "lambda", *[F.col("coef")[i].alias(n) for i, n in enumerate(FEATURES)]), 5)
 
 
 def _pls_sql(components: int) -> str:
