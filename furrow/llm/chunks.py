@@ -33,7 +33,7 @@ from furrow.session import written
 
 LEAST, MOST = 24, 256
 MASK_BITS = 5  # a cut every 32 bytes past the least length
-SPAN = 120
+SPAN = 80
 GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 NO_ID = -(2**63)
 
