@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from furrow.functions import columns as C
 from furrow.functions import filters as FL
-from furrow.functions.keys import null_safe_join, round_doubles, rounded
+from furrow.functions.keys import null_safe_join
+from furrow.plans.rounding import round_doubles, rounded
 from furrow.operators import joins as J
 from furrow.operators import reshape as R
 from furrow.operators.aggregates import first_groups, hash_split, subtract_column

@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import round_doubles
+from furrow.plans.rounding import round_doubles
 from furrow.plans.catalog import query
 from furrow.plans.inputs import table, weather_long, yield_panel
 from furrow.plans.sql import WEATHER, YIELD, r

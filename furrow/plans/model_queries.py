@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import round_doubles, rounded
+from furrow.plans.rounding import round_doubles, rounded
 from furrow.operators import forest, impact, linear
 from furrow.operators import validate as V
 from furrow.operators.aggregates import rank_models
@@ -190,19 +190,19 @@ def _(spark, d):
     return round_doubles(fits.select("departement", "model", "lambda", *[F.col("coef")[i].alias(n) for i, n in enumerate(FEATURES)]), 5)
 
 
-def _pls_sql(components: int) -> str:
+def _pls_sql(components: int, tag: str = "") -> str:
     f = ["tn", "(tx - tn)", "pr", "etp"]
     o = "OVER (PARTITION BY departement)"
     steps = [
-        f"q0 AS (SELECT *, {', '.join(f'{x} - avg({x}) {o} AS x0_{i}' for i, x in enumerate(f))}, log_yield - avg(log_yield) {o} AS v0, avg(log_yield) {o} AS p0 FROM mp)"
+        f"q0{tag} AS (SELECT *, {', '.join(f'{x} - avg({x}) {o} AS x0_{i}' for i, x in enumerate(f))}, log_yield - avg(log_yield) {o} AS v0, avg(log_yield) {o} AS p0 FROM mp)"
     ]
     for a in range(components):
         xs = [f"x{a}_{i}" for i in range(4)]
-        steps.append(f"w{a} AS (SELECT *, {' + '.join(f'sum({x} * v{a}) {o} * {x}' for x in xs)} AS t{a} FROM q{a})")
+        steps.append(f"w{a}{tag} AS (SELECT *, {' + '.join(f'sum({x} * v{a}) {o} * {x}' for x in xs)} AS t{a} FROM q{a}{tag})")
         t = f"t{a}"
         steps.append(
-            f"q{a + 1} AS (SELECT *, {', '.join(f'{x} - sum({x} * {t}) {o} / sum({t} * {t}) {o} * {t} AS x{a + 1}_{i}' for i, x in enumerate(xs))}, "
-            f"v{a} - sum(v{a} * {t}) {o} / sum({t} * {t}) {o} * {t} AS v{a + 1}, p{a} + sum(v{a} * {t}) {o} / sum({t} * {t}) {o} * {t} AS p{a + 1} FROM w{a})"
+            f"q{a + 1}{tag} AS (SELECT *, {', '.join(f'{x} - sum({x} * {t}) {o} / sum({t} * {t}) {o} * {t} AS x{a + 1}_{i}' for i, x in enumerate(xs))}, "
+            f"v{a} - sum(v{a} * {t}) {o} / sum({t} * {t}) {o} * {t} AS v{a + 1}, p{a} + sum(v{a} * {t}) {o} / sum({t} * {t}) {o} * {t} AS p{a + 1} FROM w{a}{tag})"
         )
     return ",\n".join(steps)
 
@@ -238,12 +238,15 @@ def _(spark, d):
     return round_doubles(linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], 3))
 
 
-@query("m7_select_ncomp", f"""WITH {PANEL}, {_pls_cv_sql(4)},
+NCOMP = _pls_cv_sql(4) + """,
 e AS (""" + " UNION ALL ".join(
     f"SELECT departement, inner_fold AS part, {k} AS ncomp, sqrt(avg(v{k} * v{k})) AS rmsep, count(*)::DOUBLE AS rows FROM q4 WHERE inner_fold = part GROUP BY ALL" for k in range(5)) + """),
 c AS (SELECT departement, ncomp, sqrt(sum(rmsep * rmsep * rows) / sum(rows)) AS rm, stddev_samp(rmsep) / sqrt(count(*)) AS se FROM e GROUP BY ALL),
-b AS (SELECT departement, rm AS best, se AS bse FROM c QUALIFY row_number() OVER (PARTITION BY departement ORDER BY rm, ncomp) = 1)
-SELECT departement, CAST(greatest(min(ncomp), 1) AS INTEGER) AS ncomp FROM c JOIN b USING (departement) WHERE rm <= best + bse GROUP BY ALL""")
+b AS (SELECT departement, rm AS best, se AS bse FROM c QUALIFY row_number() OVER (PARTITION BY departement ORDER BY rm, ncomp) = 1),
+nc AS (SELECT departement, CAST(greatest(min(ncomp), 1) AS INTEGER) AS ncomp FROM c JOIN b USING (departement) WHERE rm <= best + bse GROUP BY ALL)"""
+
+
+@query("m7_select_ncomp", f"WITH {PANEL}, {NCOMP} SELECT departement, ncomp FROM nc")
 def _(spark, d):
     rows = V.inner_folds(month_panel(spark, d), ROW, 10)
     errors = linear.cv_pls_errors(gram(rows, ["departement", "inner"], FEATURES, "log_yield"), ["departement"], len(FEATURES))
@@ -336,10 +339,16 @@ def _(spark, d):
     return round_doubles(out.select(*ROW, "model", "pred"))
 
 
-@query("m14_calibrate_all_models")
+@query("m14_calibrate_all_models", f"""WITH RECURSIVE {IN_SAMPLE}, {", ".join(_net_cv_sql(a, f"_{m}") for m, a in NETS.items())}, {NCOMP}, {_pls_sql(4, "_all")}
+SELECT departement, year, month, 'ols' AS model, {r('pred', 'pred', 5)} FROM g_fit""" + "".join(
+    f"""
+UNION ALL SELECT mp.departement, year, month, '{m}', {r('my + ' + ' + '.join(f'k{i} * ({x} - m{i})' for i, x in enumerate(SQL_FEATURES)), None, 5)}
+FROM mp JOIN co_{m} c ON mp.departement = c.departement JOIN be_{m} b ON b.departement = c.departement AND b.k = c.k WHERE part = -1""" for m in NETS) + f"""
+UNION ALL SELECT departement, year, month, 'pls', {r('CASE ncomp WHEN 1 THEN p1 WHEN 2 THEN p2 WHEN 3 THEN p3 ELSE p4 END', None, 5)} FROM q4_all JOIN nc USING (departement)""")
 def _(spark, d):
     models = ["ols", "lasso", "ridge", "elnet", "pls"]
-    return V.calibrate(month_panel(spark, d), ["departement"], FEATURES, "log_yield", models, ROW).select(*ROW, "model", "pred")
+    out = V.calibrate(month_panel(spark, d), ["departement"], FEATURES, "log_yield", models, ROW).select(*ROW, "model", "pred")
+    return round_doubles(out, 5)
 
 
 @query("m16_block_folds", f"""WITH {PANEL} SELECT departement, year, month, {fold_sql('year', (0.5, 1.0))} AS fold2, {fold_sql('year', (0.25, 0.5, 0.75, 1.0))} AS fold4 FROM mp""")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from furrow.functions.keys import ROUNDING_NUDGE
+from furrow.plans.rounding import ROUNDING_NUDGE
 from furrow.plans.inputs import CROP_OF_TYPE
 
 

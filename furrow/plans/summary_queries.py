@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import round_doubles, rounded
+from furrow.plans.rounding import round_doubles, rounded
 from furrow.operators import aggregates as A
 from furrow.operators.quantiles import iqr
 from furrow.plans.catalog import query

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from furrow.functions.keys import round_doubles, rounded
+from furrow.plans.rounding import round_doubles, rounded
 from furrow.functions.filters import min_group_size
 from furrow.operators import scenario as SC
 from furrow.operators import trend as TR
