@@ -9,8 +9,8 @@ plane, zeros first, which is what makes access, counting (rank) and occurrence l
 (select) possible without unpacking the sequence.
 
 Encoding works on distinct words: the tokenizer's pre-tokenizer cuts at white space, so a
-text's ids are those of its words one after another. A bounded memory of words is kept for
-each Python worker.
+text's ids are those of its words one after another. A word of letters and closing signs goes to the model
+piece by piece, if that is seen to give the tokenizer's own ids. A bounded memory of words is kept for each Python worker.
 
 A null text is empty and has the end id only. Documents of null id come first. Rows of equal
 id are separate documents, in the order of a hash of their text. An empty table gives no file and an
@@ -19,6 +19,7 @@ empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -33,11 +34,14 @@ SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
 WORDS_KEPT = 400_000
+SHORT = 12
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes array<binary>, counts array<binary>"
 )
 SEPARATOR = "\x01"
+# letters that stand for themselves in NFC, and signs that make a piece of their own after them
+PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
 
 
 class WaveletMatrix:
@@ -141,6 +145,16 @@ def _running(plane: np.ndarray) -> np.ndarray:
     return np.r_[np.uint32(0), np.cumsum(per, dtype=np.uint32)]
 
 
+def _byte_signs() -> list[str]:
+    """The characters by which byte-level vocabularies name bytes: printable ones name themselves, others follow 255."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in own]
+    return [chr(b) if b in own else chr(256 + others.index(b)) for b in range(256)]
+
+
+BYTE_SIGNS = _byte_signs()
+
+
 class WordEncoder:
     """Ids of whole texts through a memory of words; see the module's docstring."""
 
@@ -153,11 +167,48 @@ class WordEncoder:
         self.kind = np.uint16 if self.bits <= 16 else np.uint32
         self.mark = self._encoded(SEPARATOR)
         self.memory: dict[bytes, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.by_piece = self._pieces_agree()
 
     def _encoded(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
+    def _pieces_agree(self) -> bool:
+        """Whether letters and signs may go to the model on their own: tried on every letter and sign there is."""
+        letters = [chr(c) for c in range(0x41, 0x100) if PLAIN.fullmatch(chr(c))]
+        probes = [a + b for a, b in zip(letters, letters[7:] + letters[:7])]
+        probes += ["".join(letters[k : k + 9]) + m for k in range(0, len(letters), 5) for m in (".", ",", ";", ":", "!!", "?!", "...")]
+        probes += ["The", "isn", "s", "ll,", "ve", "DON.", "Straße", "für,", "ÉÉÉ!", "naïvement;"]
+        try:
+            return all(self._of_pieces(w) == np.array(self._encoded(w), self.kind).tobytes() for w in probes)
+        except (AttributeError, TypeError, ValueError):
+            return False
+
+    def _of_pieces(self, word: str) -> bytes | None:
+        match = PLAIN.fullmatch(word)
+        if match is None:
+            return None
+        out = []
+        for piece in match.groups():
+            if piece not in self.pieces:
+                shown = piece.lower()
+                if not shown.isascii():
+                    shown = "".join([BYTE_SIGNS[b] for b in shown.encode()])
+                ids = [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
+                self.pieces[piece] = np.array(ids, self.kind).tobytes()
+            out.append(self.pieces[piece])
+        return b"".join(out)
+
     def _learn(self, words: list[bytes]) -> None:
+        if self.by_piece:
+            rest = []
+            for w in words:
+                found = self._of_pieces(w.decode())
+                if found is None:
+                    rest.append(w)
+                else:
+                    self.memory[w] = found
+            words = rest
         plain = [w for w in words if SEPARATOR.encode() not in w] if len(self.mark) == 1 else []
         for k in range(0, len(plain), 100):
             part = plain[k : k + 100]
@@ -173,8 +224,11 @@ class WordEncoder:
                 self.memory[w] = np.array(self._encoded(w.decode()), self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.memory) > WORDS_KEPT:
-            self.memory.clear()
+        for name in ("memory", "pieces"):
+            kept = getattr(self, name)
+            if len(kept) > WORDS_KEPT:  # short words come again soonest
+                short = {w: ids for w, ids in kept.items() if len(w) <= SHORT}
+                setattr(self, name, short if len(short) < WORDS_KEPT // 2 else {})
         split = [t.split() for t in texts]
         new = {w for words in split for w in words if w not in self.memory}
         self._learn(list(new))
