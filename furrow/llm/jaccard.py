@@ -43,7 +43,7 @@ TILE = 1024  # classes in a block
 SAMPLE = 4000  # documents whose shingles set the order
 SAMPLE_SEEN = 8  # a shingle of so many of them is put last
 SAMPLE_KEPT = 1 << 16
-BROADCAST_IDS = 1_000_000  # ids of documents sent to every task, 8 MB
+BROADCAST_IDS = 1_000_000  # rows of ids sent to every task, some 40 MB
 NO_ID = -(2**63)
 SET_SCHEMA = "id long, n long, digest binary, prefix array<long>, bits binary"
 
@@ -380,6 +380,12 @@ def _merged(comps: DataFrame | None, links: DataFrame) -> DataFrame:
     return written(moved.unionByName(new), "near-comps")
 
 
+def _without_ids(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFrame:
+    """``rows`` that are not among ``others``, which go to every task only if they are few."""
+    few = others.count() <= BROADCAST_IDS
+    return rows.join(F.broadcast(others) if few else others, keys, "left_anti")
+
+
 def near_classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
 
@@ -392,13 +398,14 @@ def near_classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame
     rows = written(texts.mapInArrow(_summaries(percent, size, last), SET_SCHEMA), "near-rows")
     full = rows.where("n > 0")
     classes = written(full.groupBy("digest").agg(F.min("id").alias("rep")), "near-classes")
-    heads = full.join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    heads = heads.dropDuplicates(["id", "digest"])
+    copies = full.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "digest")
+    heads = _without_ids(full, written(copies, "near-copies"), ["id", "digest"])
+    if not rows.groupBy("id").count().where("count > 1").isEmpty():
+        heads = heads.dropDuplicates(["id", "digest"])
     postings = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
     shared = written(postings.join(counts, "token").select("token", "id", "n", "pos"), "near-shared")
-    bits = rows.select("id", "digest", "bits").join(classes.select(F.col("rep").alias("id"), "digest"), ["id", "digest"], "left_semi")
-    bits = bits.dropDuplicates(["id"]).select("id", "bits")
+    bits = heads.select("id", "bits")
     first = shared.groupBy("id").agg(F.min(F.struct("pos", "token", "n")).alias("x")).select("id", "x.token", "x.n", "x.pos")
     comps, checked = None, None
     for step in (first, shared, None):
