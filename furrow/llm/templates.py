@@ -8,9 +8,12 @@ the document; one value of the item must stand for one of the document, or the m
 count. A document is contaminated by an item when consistent matches cover at
 least ``MIN_COVER`` percent of the item's windows.
 
-Windows of the item with fewer than ``MIN_LITERAL`` literal tokens match too much and are not indexed; neither
-are items shorter than a window. The windows of the benchmark are counted; up to ``BROADCAST_WINDOWS`` they
-are sent to every task, so the windows of documents are not shuffled, and beyond that the join is left to Spark.
+Windows of the item with fewer than ``MIN_LITERAL`` literal tokens match too much as templates and are indexed by
+their exact tokens, values included; so are items shorter than a window, as one window of their own length. All
+windows of an item are thus indexed, and a verbatim copy matches whatever it is made of. Documents are
+searched for exact windows only of the lengths that the index holds. The windows of the benchmark are counted; up to
+``BROADCAST_WINDOWS`` they are sent to every task, so the windows of documents are not shuffled, and beyond that
+the join is left to Spark.
 
 Native DataFrame functions only. Null and empty texts have no windows. A null ``doc_id`` is a document of its
 own kind: all rows of one id, null too, count as one. Repeated benchmark rows are each reported.
@@ -19,6 +22,8 @@ Empty tables give an empty result. Other columns are not looked at.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +45,7 @@ UNITS = (
 )
 NAME, NUMBER, UNIT = "\x01", "\x02", "\x03"
 _FIRST_LITERAL = "\x04"
+_WINDOWS = "array<struct<pos:int,h:bigint,first:string,last:string>>"
 
 
 def _unit_pattern() -> str:
@@ -93,42 +99,100 @@ def windows_of(tokens: Column, literal: bool = False) -> Column:
     return F.when(F.size(tokens) >= WINDOW, let(tokens, of))
 
 
+def _exact(tokens: Column, i: Column, size: int) -> Column:
+    """The window of ``size`` exact tokens at ``i``; a name counts as its word, whatever stands before it."""
+    words = [F.replace(F.get(tokens, i + k), F.lit(NAME), F.lit("")) for k in range(size)]
+    none = F.lit(None).cast("string")
+    return F.struct(i.alias("pos"), F.xxhash64(F.lit(size), *words).alias("h"), none.alias("first"), none.alias("last"))
+
+
+def _poor_starts(tokens: Column) -> Column:
+    """Where the windows with fewer than ``MIN_LITERAL`` literal tokens start, from the places of the slots alone."""
+    reach = WINDOW - MIN_LITERAL  # a poor window holds this many slots after its first one
+
+    def around(p: Column) -> Column:
+        def starts(k: Column) -> Column:
+            low, high = F.greatest(F.get(p, k + reach) - (WINDOW - 1), F.lit(0)), F.least(F.get(p, k), F.size(tokens) - WINDOW)
+            return F.when(F.get(p, k + reach) - F.get(p, k) < WINDOW, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+
+        return F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(0), F.size(p) - (reach + 1)), starts)))
+
+    slots = F.filter(F.transform(tokens, lambda x, i: F.when(x < _FIRST_LITERAL, i)), lambda i: i.isNotNull())
+    return let(slots, lambda p: F.when((F.size(p) > reach) & (F.size(tokens) >= WINDOW), around(p)).otherwise(F.array().cast("array<int>")))
+
+
+def exact_windows(tokens: Column, size: int) -> Column:
+    """Array like that of ``windows_of``, of exact tokens: all of a shorter ``size``, the poor ones of ``WINDOW``."""
+    if size == WINDOW:
+        return let(tokens, lambda t: F.transform(_poor_starts(t), lambda i: _exact(t, i, size)))
+    every = lambda t: F.transform(F.sequence(F.lit(0), F.size(t) - size), lambda i: _exact(t, i, size))
+    return F.when(F.size(tokens) >= size, let(tokens, every)).otherwise(F.array().cast(_WINDOWS))
+
+
 def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """One row per indexed window: item, h, item_pos, item_first, item_last, item_windows."""
-    rows = items.select(F.col(id_col).alias("item_id"), windows_of(tokens_of(F.col(text_col)), literal=True).alias("w"))
-    windows = rows.withColumn("item_windows", F.size("w")).select("item_id", "item_windows", F.inline("w"))
-    return windows.where(F.col("literals") >= MIN_LITERAL).select(
-        "item_id", "h", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"), "item_windows"
+    """One row per indexed window: item, h, item_pos, item_first, item_last, item_windows, exact.
+
+    ``exact`` is the length of a window of exact tokens, and null for a template.
+    """
+    rows = items.select(F.col(id_col).alias("item_id"), tokens_of(F.col(text_col)).alias("t")).where(F.size("t") > 0)
+    counted = rows.withColumn("item_windows", F.greatest(F.size("t") - (WINDOW - 1), F.lit(1)))
+    templates = counted.select("item_id", "item_windows", F.inline(windows_of(F.col("t"), literal=True))).where(F.col("literals") >= MIN_LITERAL)
+    parts = [templates.drop("literals").withColumn("exact", F.lit(None).cast("int"))]
+    for size in range(1, WINDOW + 1):
+        those = counted if size == WINDOW else counted.where(F.size("t") == size)
+        parts.append(those.select("item_id", "item_windows", F.inline(exact_windows(F.col("t"), size)), F.lit(size).alias("exact")))
+    return reduce(DataFrame.unionByName, parts).select(
+        "item_id", "h", F.col("pos").alias("item_pos"), F.col("first").alias("item_first"), F.col("last").alias("item_last"), "item_windows", "exact"
     )
 
 
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """(doc_id, item_id, windows, item_windows, cover, consistency) of each document and item that match.
+    """(doc_id, item_id, windows, item_windows, cover, consistency, exact_windows, total_cover) of each match of document and item.
 
-    ``cover`` is the percentage of the item's windows found, ``consistency`` the least share of slot values
+    ``cover`` is the percentage of the item's windows found as templates, ``total_cover``, which decides, that of those
+    and of the ``exact_windows``. ``consistency`` the least share of slot values
     that stand for one value among the matches that count.
     """
     index = written(benchmark_windows(items), "template-windows")
     few = index.count() <= BROADCAST_WINDOWS
+    sizes = [r[0] for r in index.select("exact").distinct().where("exact is not null").collect()]  # at most WINDOW of them
+
+    def pieces_of(t: Column) -> Column:
+        if not sizes:
+            return windows_of(t)
+        return F.concat(F.coalesce(windows_of(t), F.array().cast(_WINDOWS)), *[exact_windows(t, size) for size in sorted(sizes)])
+
+    tokens = tokens_of(F.col("text"))
+    windows = let(tokens, pieces_of) if sizes else pieces_of(tokens)
     # the outer form: the other one makes the optimiser test the arrays for rows, and compute them twice for that
-    pieces = docs.select("doc_id", windows_of(tokens_of(F.col("text"))).alias("w")).select("doc_id", F.inline_outer("w"))
+    pieces = docs.select("doc_id", windows.alias("w")).select("doc_id", F.inline_outer("w"))
     met = pieces.join(F.broadcast(index) if few else index, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("item"), F.col(b).alias("doc")))
     # a match has at most as many rows as the item has windows
     matches = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
-        F.collect_set("item_pos").alias("found"),
+        F.collect_set(F.when(F.col("exact").isNull(), F.col("item_pos"))).alias("found"),
+        F.collect_set(F.when(F.col("exact").isNotNull(), F.col("item_pos"))).alias("found_exact"),
         F.array_union(F.collect_set(pair("item_first", "first")), F.collect_set(pair("item_last", "last"))).alias("slots"),
     )
     values = F.size(F.array_distinct(F.transform("slots", lambda s: s["item"])))
     consistent = matches.withColumn(
         "consistency", F.when(F.size("slots") > 0, values / F.size("slots")).otherwise(1.0)
     ).where(F.col("consistency") >= MIN_CONSISTENT)
+    union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
     total = consistent.groupBy("doc_id", "item_id", "item_windows").agg(
-        F.size(F.array_distinct(F.flatten(F.collect_list("found")))).alias("windows"), F.min("consistency").alias("consistency")
+        union("found").alias("windows"), union("found_exact").alias("exact_windows"), F.min("consistency").alias("consistency")
     )
-    cover = 100.0 * F.col("windows") / F.col("item_windows")
-    return total.where(100 * F.col("windows") >= MIN_COVER * F.col("item_windows")).select(
-        "doc_id", "item_id", "windows", "item_windows", F.round(cover, 3).alias("cover"), F.round("consistency", 6).alias("consistency")
+    share = lambda n: 100.0 * n / F.col("item_windows")
+    every = F.col("windows") + F.col("exact_windows")
+    return total.where(100 * every >= MIN_COVER * F.col("item_windows")).select(
+        "doc_id",
+        "item_id",
+        "windows",
+        "item_windows",
+        F.round(share(F.col("windows")), 3).alias("cover"),
+        F.round("consistency", 6).alias("consistency"),
+        "exact_windows",
+        F.round(share(every), 3).alias("total_cover"),
     )
 
 

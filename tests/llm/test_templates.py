@@ -90,3 +90,20 @@ def test_hard_rows(spark, hard, none):
     assert M.clean_documents(hard, items).count() == hard.count() - 2
     assert M.contaminated(none, items).count() == 0
     assert M.clean_documents(hard, items.limit(0)).count() == hard.count()
+
+
+POOR = [
+    (1, "Compute 12 + 7 - 3 + 45 * 2 - 18 + 6 * 9 - 30 + 4."),
+    (2, "Find the median of the values 3, 8, 12, 15, 4, 9, 20, 31, 7, 5, 11 and 2."),
+    (3, "What is 6 times 7"),
+    (4, "1729"),
+    (5, "Meet Anna, Bela, Carl, Dora, Emil, Fritz, Gerd, Hans, Ida, Jan and Karl."),
+]
+
+
+def test_verbatim_copies_of_poor_and_short_items(spark):
+    docs = [(k, f"Some words stand before it, and then comes {text} After that more words follow.") for k, text in POOR]
+    docs += [(10 + k, text) for k, text in POOR] + [(20, "Compute 13 + 8 - 4 + 46 * 3 - 19 + 7 * 8 - 31 + 5."), (21, "What is 6 times 8"), (22, None), (23, "what")]
+    got = M.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(POOR, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(d + k, k) for d in (0, 10) for k, _ in POOR}
+    assert {r.total_cover for r in got if r.doc_id > 10} == {100.0}
