@@ -107,3 +107,19 @@ def test_verbatim_copies_of_poor_and_short_items(spark):
     got = M.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(POOR, "item_id long, text string")).collect()
     assert {(r.doc_id, r.item_id) for r in got} == {(d + k, k) for d in (0, 10) for k, _ in POOR}
     assert {r.total_cover for r in got if r.doc_id > 10} == {100.0}
+
+
+TOM = "Tom has 3 apples and 3 pears in a basket, and gives 3 of the fruits to his friend Anna before lunch; how many are left when he eats 1 more?"
+PAT = "Tom has 7 apples and 9 pears in a basket, and gives 4 of the fruits to his friend Clara before lunch; how many are left when he eats 2 more?"
+RUN = "Marta walks quickly to the old market. Marta meets a man who asks Marta for help. Marta smiles at him. Marta then goes home."
+SET = RUN.replace("Marta", "Helga")
+
+
+def test_repeated_number_may_split_and_first_words_may_be_names(spark):
+    docs = [(1, PAT), (2, SET), (3, "He said that tom was there, and then " + TOM)]
+    items = [(7, TOM), (8, RUN)]
+    got = M.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(r.doc_id, r.item_id): r for r in got}
+    assert set(found) == {(1, 7), (2, 8), (3, 7)}
+    assert found[1, 7].total_cover == 100.0 and found[1, 7].consistency < 0.9
+    assert found[2, 8].total_cover == 100.0 and found[3, 7].total_cover == 100.0
