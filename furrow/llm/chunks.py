@@ -6,7 +6,8 @@ least ``LEAST`` and at most ``MOST`` bytes after its start. As the ends follow t
 moves the chunks around it only, and a passage yields the same chunks in whatever text it stands.
 
 Chunks are joined by digest. One found in more than one document is repeated; its first holder, the
-least id and place, keeps it. Neighbouring repeated chunks make a span, and a span counts from ``SPAN`` bytes,
+least id and place, keeps it. Neighbouring repeated chunks make a span as long as all of them or none of them have an
+earlier holder, so what can be removed is never joined to what this document keeps. A span counts from ``SPAN`` bytes,
 so that a short phrase that two texts happen to share does not.
 
 Counts are summed before the shuffle and joined back, so a chunk in a third of all documents is one
@@ -98,7 +99,9 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     holders = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     repeated = chunks.join(holders.where("first_id < last_id").select("digest", "first_id"), "digest")
     order = Window.partitionBy("id").orderBy("at")
-    new = F.when(F.col("at") == F.lag(F.col("at") + F.col("size")).over(order), 0).otherwise(1)
+    held = F.col("first_id") < F.col("id")
+    goes_on = (F.col("at") == F.lag(F.col("at") + F.col("size")).over(order)) & (held == F.lag(held).over(order))
+    new = F.when(goes_on, 0).otherwise(1)
     spans = (
         repeated.dropDuplicates(["id", "at", "digest"])
         .withColumn("new", new)
@@ -109,7 +112,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
             F.sum("size").alias("n_bytes"),
             F.count(F.lit(1)).alias("n_chunks"),
             F.min(F.struct("at", "first_id"))["first_id"].alias("first"),
-            F.sum(F.when(F.col("first_id") < F.col("id"), F.col("size")).otherwise(0)).alias("removed_bytes"),
+            F.sum(F.when(held, F.col("size")).otherwise(0)).alias("removed_bytes"),
         )
     )
     hidden = lambda c: F.when(F.col(c) != NO_ID, F.col(c))

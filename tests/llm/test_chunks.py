@@ -92,3 +92,17 @@ def test_null_id_is_a_document(spark):
     rows, passage = texts()
     docs = spark.createDataFrame([(None, passage), (4, passage)], "doc_id long, text string")
     assert {(r.doc_id, r.first_doc_id) for r in C.repeated_spans(docs).collect()} == {(None, None), (4, None)}
+
+
+def test_copies_of_a_text_with_a_shared_passage(spark):
+    rng = random.Random(3)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    passage, own, other = words(120), words(120), words(40)
+    rows = [(1, other + " " + passage), (2, passage + " " + own), (3, passage + " " + own)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    left = {r.doc_id: r.text for r in C.without_repeats(docs).collect()}
+    assert left[1] == rows[0][1] and left[3] == ""
+    assert own in left[2] and len(left[2]) < len(own) + len(passage) / 3
+    spans = C.repeated_spans(docs).where("doc_id = 2").collect()
+    assert {(r.removed_bytes == 0, r.first_doc_id) for r in spans} == {(False, 1), (True, 2)}
+    assert all(r.removed_bytes in (0, r.n_bytes) for r in spans)
