@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from furrow.llm import chunks, extendible, jaccard, langmix, ordinal, pareto, quality, templates, warc, wavelet
+from furrow.llm import chunks, extendible, infill, jaccard, langmix, ordinal, pareto, quality, templates, warc, wavelet
 from furrow.llm.registry import query, table
+from furrow.session import written
 
 SHARD_BYTES = 1 << 20
 
@@ -61,4 +62,10 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivative_report(table(spark, sf_dir, "pages"))
 
 
+@query("op13_infill_frames")
+def infill_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    store = written(infill.pack_texts(table(spark, sf_dir, "documents")), "infill-frames")
+    return infill.digests(infill.transformed(store))
+
+
 query("pipeline", corpus_pipeline.ORACLE_SQL)(corpus_pipeline.run)
