@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from furrow.llm import chunks, extendible, infill, jaccard, langmix, ordinal, pareto, quality, sketches, templates, warc, wavelet
+from furrow.llm import chunks, extendible, infill, jaccard, langmix, ordinal, pareto, quality, sketches, templates, warc, wavelet, whitening
 from furrow.llm.registry import query, table
 from furrow.session import written
 
@@ -62,6 +62,11 @@ def warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.derivative_report(table(spark, sf_dir, "pages"))
 
 
+@query("op11_whiten_jacobi_davidson")
+def whiten_jacobi_davidson(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitening_report(table(spark, sf_dir, "embeddings"))
+
+
 @query("op12_fingerprints")
 def fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sketches.fingerprints(table(spark, sf_dir, "documents"))
