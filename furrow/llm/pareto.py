@@ -177,12 +177,15 @@ def sizes(docs: DataFrame) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, salt: str = "mix") -> DataFrame:
-    """The mixture itself: each document as many times as it is taken, with the columns of ``docs``."""
-    plan = mix_plan(sizes(docs), weights, most, salt)
-    n = _P + "copies"
-    copies = with_copies(docs, plan, word_count(F.col("text")), n, salt).where(F.col(n) > 0)
-    times = F.explode(F.sequence(F.lit(1), F.col(n)))
-    return copies.withColumn(_P + "copy", times).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The mixture itself: each document as many times as it is taken, with the columns of ``docs``.
+
+    Sizes are written beside the texts: the words of a text are counted once, whatever is derived from the count.
+    """
+    own, size, n = [F.col(f"`{c}`") for c in docs.columns], _P + "words", _P + "copies"
+    counted = written(docs.withColumn(size, word_count(F.col("text"))), "mix-documents")
+    plan = mix_plan(counted.select("doc_id", "source", F.col(size).alias("size")), weights, most, salt)
+    copies = with_copies(counted, plan, F.col(size), n, salt).where(F.col(n) > 0)
+    return copies.withColumn(_P + "copy", F.explode(F.sequence(F.lit(1), F.col(n)))).select(*own)
 
 
 def mix_report(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), most: int = 3, salt: str = "mix") -> DataFrame:

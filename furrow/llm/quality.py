@@ -253,10 +253,16 @@ def quality_report(docs: DataFrame) -> DataFrame:
 
 
 def sound_documents(docs: DataFrame) -> DataFrame:
-    """The documents the rules keep, with their own columns; counts travel beside the text once."""
+    """The documents the rules keep, with their own columns; counts travel beside the text once.
+
+    The verdict is handed on by a generator, as a plain filter on it would be moved below the
+    steps that lead to it and would repeat them.
+    """
     all_columns = with_columns_of(docs, {"text": "string", "lang": "string"})
     features = written(count_features(all_columns), "quality-documents")
-    return judged(features, language_references(features)).where(F.col(_Q + "kept")).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    verdict = judged(features, language_references(features)).select(*own, F.explode(F.array(F.col(_Q + "kept"))).alias(_Q + "kept"))
+    return verdict.where(F.col(_Q + "kept")).select(*own)
 
 
 def _report_sql() -> str:

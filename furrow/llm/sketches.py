@@ -31,7 +31,7 @@ from furrow.session import written
 K = 128
 SHINGLE = 5
 RANGE_BYTES = 64 << 20  # of text per range of ids
-MAX_RANGES = 1 << 16  # borders are one array; beyond 4 TB of text ranges get larger, not fewer rows
+MAX_RANGES = 1 << 14  # borders are one array, taken from samples of the ranges; beyond 1 TB of text ranges get larger
 FAN = 64
 _P = "__sketch_"
 
