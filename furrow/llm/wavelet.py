@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,7 +34,7 @@ from furrow.session import scratch_path
 SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
-WORDS_KEPT = 400_000
+WORDS_KEPT = 1_000_000
 SHORT = 12
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
@@ -41,7 +42,8 @@ SHARD_SCHEMA = (
 )
 SEPARATOR = "\x01"
 # letters that stand for themselves in NFC, and signs that make a piece of their own after them
-PLAIN = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([.,;:!?]*)")
+PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+SIGNS = b".,;:!?"
 
 
 class WaveletMatrix:
@@ -164,10 +166,9 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         top = max(self.tokenizer.get_vocab(with_added_tokens=True).values())
         self.bits = max(1, top.bit_length())
-        self.kind = np.uint16 if self.bits <= 16 else np.uint32
+        self.kind, self.code = (np.uint16, "H") if self.bits <= 16 else (np.uint32, "I")
         self.mark = self._encoded(SEPARATOR)
         self.memory: dict[bytes, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
         self.by_piece = self._pieces_agree()
 
     def _encoded(self, text: str) -> list[int]:
@@ -180,30 +181,31 @@ class WordEncoder:
         probes += ["".join(letters[k : k + 9]) + m for k in range(0, len(letters), 5) for m in (".", ",", ";", ":", "!!", "?!", "...")]
         probes += ["The", "isn", "s", "ll,", "ve", "DON.", "Straße", "für,", "ÉÉÉ!", "naïvement;"]
         try:
-            return all(self._of_pieces(w) == np.array(self._encoded(w), self.kind).tobytes() for w in probes)
+            return all(self._of_pieces(w.encode()) == np.array(self._encoded(w), self.kind).tobytes() for w in probes)
         except (AttributeError, TypeError, ValueError):
             return False
 
-    def _of_pieces(self, word: str) -> bytes | None:
-        match = PLAIN.fullmatch(word)
-        if match is None:
+    def _of_letters(self, letters: bytes) -> bytes:
+        """Ids of a word of letters, or of signs, alone."""
+        ids = self.memory.get(letters)
+        if ids is None:
+            shown = letters.lower().decode() if letters.isascii() else "".join([BYTE_SIGNS[b] for b in letters.decode().lower().encode()])
+            ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
+            self.memory[letters] = ids
+        return ids
+
+    def _of_pieces(self, word: bytes) -> bytes | None:
+        letters = word.rstrip(SIGNS)
+        if not letters.isalpha() and not PLAIN.fullmatch(letters.decode()):  # bytes know ASCII letters only
             return None
-        out = []
-        for piece in match.groups():
-            if piece not in self.pieces:
-                shown = piece.lower()
-                if not shown.isascii():
-                    shown = "".join([BYTE_SIGNS[b] for b in shown.encode()])
-                ids = [t.id for t in self.tokenizer.model.tokenize(shown)] if piece else []
-                self.pieces[piece] = np.array(ids, self.kind).tobytes()
-            out.append(self.pieces[piece])
-        return b"".join(out)
+        signs = word[len(letters) :]
+        return self._of_letters(letters) + self._of_letters(signs) if signs else self._of_letters(letters)
 
     def _learn(self, words: list[bytes]) -> None:
         if self.by_piece:
             rest = []
             for w in words:
-                found = self._of_pieces(w.decode())
+                found = self._of_pieces(w)
                 if found is None:
                     rest.append(w)
                 else:
@@ -224,16 +226,17 @@ class WordEncoder:
                 self.memory[w] = np.array(self._encoded(w.decode()), self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        for name in ("memory", "pieces"):
-            kept = getattr(self, name)
-            if len(kept) > WORDS_KEPT:  # short words come again soonest
-                short = {w: ids for w, ids in kept.items() if len(w) <= SHORT}
-                setattr(self, name, short if len(short) < WORDS_KEPT // 2 else {})
+        if len(self.memory) > WORDS_KEPT:  # short words come again soonest
+            short = {w: ids for w, ids in self.memory.items() if len(w) <= SHORT}
+            self.memory = short if len(short) < WORDS_KEPT // 2 else {}
         split = [t.split() for t in texts]
-        new = {w for words in split for w in words if w not in self.memory}
-        self._learn(list(new))
-        for words in split:
-            yield np.frombuffer(b"".join([self.memory[w] for w in words]), self.kind)
+        known = [list(map(self.memory.get, words)) for words in split]
+        self._learn(list({w for words, ids in zip(split, known) if None in ids for w, x in zip(words, ids) if x is None}))
+        memory = self.memory
+        for words, ids in zip(split, known):
+            if None in ids:
+                ids = [memory[w] if x is None else x for w, x in zip(words, ids)]
+            yield np.frombuffer(b"".join(ids), self.kind)
 
 
 _ENCODERS: dict[str, WordEncoder] = {}
