@@ -1,6 +1,8 @@
 """Small dense solves on cross-product matrices of z = (1, x..., y).
 
-Rows never get here: Spark has summed them, a solve sees p x p numbers.
+Rows never get here: Spark has summed them, a solve sees p x p numbers. The sums may be about any point:
+slopes do not depend on it, and intercepts follow from it (``moved_back``). ``Moments`` gives those about the means, or
+about those of another group, for which no large numbers are taken from each other.
 """
 
 from __future__ import annotations
@@ -23,6 +25,40 @@ def pack(full: np.ndarray) -> np.ndarray:
     return full[np.triu_indices(len(full))]
 
 
+class Moments:
+    """Weight, means and co-moments of z, unpacked from a row of a cross-product table."""
+
+    def __init__(self, packed) -> None:
+        full = unpack(packed)
+        self.n, self.mean, self.co = full[0, 0], full[0, 1:], full[1:, 1:]
+
+    def about(self, point: np.ndarray | None = None) -> np.ndarray:
+        """Sums of z z' with x and y counted from ``point``, their means by default."""
+        apart = np.zeros(len(self.mean)) if point is None else self.mean - point
+        out = np.empty((len(apart) + 1, len(apart) + 1))
+        out[0, 0], out[0, 1:], out[1:, 0] = self.n, self.n * apart, self.n * apart
+        out[1:, 1:] = self.co + self.n * np.outer(apart, apart)
+        return out
+
+
+def common_mean(parts: list[Moments]) -> np.ndarray:
+    n = np.array([p.n for p in parts])
+    start = parts[int(np.argmax(n))].mean
+    return start + sum(p.n * (p.mean - start) for p in parts) / (n.sum() or 1.0)
+
+
+def moved_back(intercept: float, coef, point: np.ndarray) -> float:
+    """The intercept for x and y themselves, of a fit to their distances from ``point``."""
+    return float(intercept + point[-1] - np.nan_to_num(np.asarray(coef, float)) @ point[:-1])
+
+
+def leave_one_out(m: Moments, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Means and co-moments of a group without one of its rows, for each row of ``z`` (weight one)."""
+    apart = z - m.mean
+    rest = m.n - 1
+    return m.mean - apart / rest, m.co - (m.n / rest) * apart[:, :, None] * apart[:, None, :]
+
+
 def centred(g: np.ndarray):
     """n, means of x, mean of y, centred cross products xx, xy, yy."""
     n = g[0, 0]
@@ -174,19 +210,52 @@ def partial_least_squares(g: np.ndarray, components: int):
     return my - b @ mx, b
 
 
+def many_partial_least_squares(xx: np.ndarray, xy: np.ndarray, components: int) -> np.ndarray:
+    """``partial_least_squares`` for a stack of centred cross products; slopes, (fits, components + 1, features)."""
+    out = np.zeros((len(xx), components + 1, xx.shape[1]))
+    s, rs, ps = xy.copy(), [], []
+    full = np.linalg.norm(xy, axis=1)
+    for a in range(components):
+        size = np.linalg.norm(s, axis=1)
+        live = size > 1e-12 * np.maximum(full, 1e-300)
+        direction = s / np.where(live, size, 1.0)[:, None]
+        r = direction.copy()
+        for rk, pk in zip(rs, ps):
+            r -= np.einsum("ni,ni->n", pk, direction)[:, None] * rk
+        image = np.einsum("nij,nj->ni", xx, r)
+        length = np.einsum("ni,ni->n", r, image)
+        live &= length > 0
+        safe = np.where(live, length, 1.0)
+        p, q = image / safe[:, None], np.where(live, np.einsum("ni,ni->n", r, xy) / safe, 0.0)
+        s = s - np.where(live, q * safe, 0.0)[:, None] * p
+        rs.append(np.where(live[:, None], r, 0.0))
+        ps.append(np.where(live[:, None], p, 0.0))
+        out[:, a + 1] = out[:, a] + rs[-1] * q[:, None]
+    return out
+
+
 def squared_error(g: np.ndarray, intercepts, coefs) -> np.ndarray:
     """Sum of squared errors of each coefficient row on the rows behind ``g``."""
     v = np.c_[intercepts, coefs, -np.ones(len(coefs))]
     return np.einsum("ki,ij,kj->k", v, g, v)
 
 
-def flat_posterior(g: np.ndarray, prior_precision: float) -> dict:
-    """Gaussian posterior of intercept and slopes under a vague normal prior."""
+def flat_posterior(g: np.ndarray, prior_precision: float, point: np.ndarray | None = None) -> dict:
+    """Gaussian posterior of intercept and slopes under a vague normal prior.
+
+    With ``g`` about ``point`` the prior is that of the intercept there; mean and spread are those of the intercept
+    for x and y themselves.
+    """
+    p = len(g) - 2
+    back, shift = np.eye(p + 1), np.zeros(p + 1)
+    if point is not None:
+        back[0, 1:], shift[0] = -point[:-1], point[-1]
     zz, zy = g[:-1, :-1], g[:-1, -1]
     scale = np.sqrt(np.maximum(np.diag(zz), 1e-300))
     scaled = zz / np.outer(scale, scale) + np.diag(prior_precision / scale**2)
     inverse = np.linalg.pinv(scaled, hermitian=True) / np.outer(scale, scale)
-    mean = inverse @ zy
-    rss = max(g[-1, -1] - mean @ zy, 0.0)
-    variance = rss / max(g[0, 0] - len(zz), 1)
-    return {"mean": mean, "sd": np.sqrt(np.maximum(np.diag(inverse), 0) * variance), "variance": variance}
+    own = inverse @ zy
+    v = np.r_[own, -1.0]
+    variance = max(v @ g @ v, 0.0) / max(g[0, 0] - len(zz), 1)
+    spread = np.diag(back @ inverse @ back.T)
+    return {"mean": back @ own + shift, "sd": np.sqrt(np.maximum(spread, 0) * variance), "variance": variance}

@@ -53,10 +53,18 @@ def _frame(rows: list[dict], names: Sequence[str]) -> pd.DataFrame:
     return out
 
 
+def _back(found: list[dict], point: np.ndarray) -> list[dict]:
+    """Rows of fits to distances from ``point`` as rows of fits to the values themselves."""
+    for row in found:
+        if "intercept" in row:
+            row["intercept"] = S.moved_back(row["intercept"], [np.nan if v is None else v for v in row["coef"]], point)
+    return found
+
+
 def _solve_rows(
-    table: DataFrame, keys: Sequence[str], fields: list[T.StructField], solve: Callable[[np.ndarray], list[dict]]
+    table: DataFrame, keys: Sequence[str], fields: list[T.StructField], solve: Callable[..., list[dict]]
 ) -> DataFrame:
-    """Apply a solve to the matrix of each row; rows are independent."""
+    """Apply a solve to the matrix of each row about its means, and to these; rows are independent."""
     keys = list(keys)
     schema = T.StructType(_fields(table, keys) + fields)
     names = [f.name for f in schema.fields]
@@ -65,17 +73,18 @@ def _solve_rows(
         for pdf in batches:
             rows = []
             for record in pdf.to_dict("records"):
-                for found in solve(S.unpack(record["m"])):
+                moments = S.Moments(record["c"])
+                for found in _back(solve(moments.about(), moments.mean), moments.mean):
                     rows.append({**{k: record[k] for k in keys}, **found})
             yield _frame(rows, names)
 
-    return table.select(*keys, "m").mapInPandas(run, schema)
+    return table.select(*keys, "c").mapInPandas(run, schema)
 
 
 def fit_ols(table: DataFrame, keys: Sequence[str], name: str = "ols") -> DataFrame:
     """Least squares; a column explained by earlier ones gets a null coefficient."""
 
-    def solve(g):
+    def solve(g, _):
         fit = S.least_squares(g)
         return [_row(name, fit["intercept"], fit["coef"], rank=fit["rank"])]
 
@@ -88,7 +97,7 @@ def fit_elastic_net(
 ) -> DataFrame:
     """One row per group and penalty (a path of ``steps`` when none is given)."""
 
-    def solve(g):
+    def solve(g, _):
         path = S.penalty_path(g, alpha, steps) if lambdas is None else np.asarray(lambdas, float)
         fits = zip(*S.elastic_net(g, alpha, path), path)
         return [_row(name, a, b, lam=float(v), converged=done) for a, b, done, v in fits]
@@ -97,7 +106,7 @@ def fit_elastic_net(
 
 
 def fit_pls(table: DataFrame, keys: Sequence[str], ncomp: int, name: str = "pls") -> DataFrame:
-    def solve(g):
+    def solve(g, _):
         intercepts, coefs = S.partial_least_squares(g, ncomp)
         return [_row(name, intercepts[ncomp], coefs[ncomp], ncomp=ncomp)]
 
@@ -113,8 +122,8 @@ def fit_bayes_linear(
     ]
     terms = ["intercept", *features]
 
-    def solve(g):
-        post = S.flat_posterior(g, prior_precision)
+    def solve(g, mean):
+        post = S.flat_posterior(g, prior_precision, mean)
         return [
             {"term": t, "mean": m, "sd": s, "low": m - 1.959963984540054 * s, "high": m + 1.959963984540054 * s}
             for t, m, s in zip(terms, post["mean"], post["sd"])
@@ -129,15 +138,15 @@ def coef_table(table: DataFrame, keys: Sequence[str], features: Sequence[str]) -
         T.StructField(c, T.DoubleType()) for c in ("estimate", "se", "t")
     ]
 
-    def solve(g):
+    def solve(g, mean):
         fit = S.least_squares(g)
         free = fit["n"] - fit["rank"]
         variance = fit["rss"] / free if free > 0 else np.nan
-        kept, inv, mx = fit["kept"], fit["inverse"], fit["mean"]
+        kept, inv, mx = fit["kept"], fit["inverse"], mean[:-1]
         se = np.full(len(features) + 1, np.nan)
         se[0] = np.sqrt(variance * (1 / fit["n"] + mx[kept] @ inv @ mx[kept]))
         se[1 + np.asarray(kept, int)] = np.sqrt(variance * np.diag(inv))
-        estimate = np.r_[fit["intercept"], fit["coef"]]
+        estimate = np.r_[S.moved_back(fit["intercept"], fit["coef"], mean), fit["coef"]]
         clean = lambda v: None if not np.isfinite(v) else float(v)
         with np.errstate(divide="ignore", invalid="ignore"):
             t = estimate / se
@@ -164,7 +173,7 @@ def _others(pieces: list[np.ndarray], k: int) -> np.ndarray:
 
 
 def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve, part: str | None = None) -> DataFrame:
-    """Solve per group from the matrices of its inner folds (a handful of rows).
+    """Solve per group from the matrices of its inner folds (a handful of rows), all about the group's means.
 
     With ``part`` the solve also gets the labels of the inner folds.
     """
@@ -173,12 +182,14 @@ def _group_solve(table: DataFrame, keys: Sequence[str], fields, solve, part: str
     names = [f.name for f in schema.fields]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pieces = [S.unpack(m) for m in pdf["m"]]
+        parts = [S.Moments(c) for c in pdf["c"]]
+        point = S.common_mean(parts)
+        pieces = [p.about(point) for p in parts]
         first = {k: pdf[k].iloc[0] for k in keys}
         more = [list(pdf[part])] if part else []
-        return _frame([{**first, **found} for found in solve(sum(pieces), pieces, *more)], names)
+        return _frame([{**first, **found} for found in _back(solve(sum(pieces), pieces, *more), point)], names)
 
-    rows = table.select(*keys, *([part] if part else []), "m")
+    rows = table.select(*keys, *([part] if part else []), "c")
     return (spread(rows, keys) if keys else rows).groupBy(*keys).applyInPandas(run, schema)
 
 

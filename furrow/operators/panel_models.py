@@ -49,13 +49,13 @@ def fit_panel_trend(
     def leftover(batches):
         for pdf in batches:
             out = []
-            for m in pdf["m"]:
-                g = S.unpack(m)
+            for m in pdf["c"]:
+                g = S.Moments(m).about()
                 link, _ = project(g)
                 out.append(S.pack(g[k:, k:] - g[k:, :k] @ link))
             yield pd.DataFrame({"m": out})
 
-    rest = table.select("m").mapInPandas(leftover, "m array<double>")
+    rest = table.select("c").mapInPandas(leftover, "m array<double>")
     shared = sum_matrices(rest, []).select(F.col("m").alias("__rest"))
     schema = T.StructType([field] + RESULT)
 
@@ -68,8 +68,10 @@ def fit_panel_trend(
                 kept = S.free_columns(pooled[:p, :p])
                 slopes = np.zeros(p)
                 slopes[kept] = np.linalg.solve(pooled[np.ix_(kept, kept)], pooled[kept, p])
-                link, own = project(S.unpack(record["m"]))
+                moments = S.Moments(record["c"])
+                link, own = project(moments.about())
                 level = link[:, -1] - link[:, :-1] @ slopes
+                level[0] = S.moved_back(level[0], np.r_[level[1:], slopes], moments.mean)
                 shown = slopes.copy()
                 shown[[j for j in range(p) if j not in kept]] = np.nan
                 trend_coef = np.array([level[j] if j in own else np.nan for j in range(1, k)])
@@ -79,7 +81,7 @@ def fit_panel_trend(
             frame["rank"] = frame["rank"].astype("Int32")
             yield frame
 
-    return attach(table.select(group, "m"), shared, []).mapInPandas(finish, schema)
+    return attach(table.select(group, "c"), shared, []).mapInPandas(finish, schema)
 
 
 def panel_features(df: DataFrame, time: str, features: Sequence[str], quadratic: bool = True):

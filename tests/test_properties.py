@@ -51,24 +51,93 @@ def by_group(df, *cols):
     return {r[0]: r[1:] for r in df.select("g", *cols).collect()}
 
 
-def test_both_gram_forms_agree(rows):
-    few = by_group(gram(rows, ["g"], FEATURES, "y"), "rows", "m")
-    many = by_group(gram(rows, ["g"], FEATURES, "y", native_limit=0), "rows", "m")
-    for g in few:
-        assert few[g][0] == many[g][0] == 60
-        np.testing.assert_allclose(few[g][1], many[g][1], rtol=1e-10)
+def test_gram_is_the_sum_of_products(rows, data):
+    got = by_group(gram(rows.repartition(7), ["g"], FEATURES, "y"), "rows", "m", "c")
+    for g, (n, m, c) in got.items():
+        x, y = dense(data, g)
+        z = np.c_[x, y]
+        assert n == 60
+        np.testing.assert_allclose(S.unpack(m), matrix(x, y), rtol=1e-10)
+        moments = S.Moments(c)
+        np.testing.assert_allclose(moments.mean, z.mean(axis=0), rtol=1e-13, atol=1e-13)
+        np.testing.assert_allclose(moments.co, (z - z.mean(axis=0)).T @ (z - z.mean(axis=0)), rtol=1e-11, atol=1e-10)
 
 
 def test_gram_keeps_large_and_null_keys(spark):
     big = 9007199254740993
     data = [(k, float(i), float(i * i % 7), float(i % 5)) for k in (big, big - 1, None) for i in range(8)]
-    df = spark.createDataFrame(data, "g long, a double, b double, y double").coalesce(1)
-    few = by_group(gram(df, ["g"], ["a", "b"], "y"), "rows", "m")
-    many = by_group(gram(df, ["g"], ["a", "b"], "y", native_limit=0), "rows", "m")
-    assert set(few) == set(many) == {big, big - 1, None}
-    for g in few:
-        assert few[g][0] == many[g][0] == 8
-        np.testing.assert_allclose(few[g][1], many[g][1])
+    df = spark.createDataFrame(data, "g long, a double, b double, y double")
+    one = by_group(gram(df.coalesce(1), ["g"], ["a", "b"], "y"), "rows", "m")
+    many = by_group(gram(df.repartition(11), ["g"], ["a", "b"], "y"), "rows", "m")
+    assert set(one) == set(many) == {big, big - 1, None}
+    for g in one:
+        assert one[g][0] == many[g][0] == 8
+        np.testing.assert_allclose(one[g][1], many[g][1])
+
+
+def test_many_groups_per_task_are_merged(spark, monkeypatch):
+    """Keys of two columns, more groups than a task holds, batches that end inside a group."""
+    data = [(i % 700, str(i % 3), float(i % 17), float(i * i % 23)) for i in range(9000)]
+    df = spark.createDataFrame(data, "g int, h string, a double, y double").repartition(5)
+    monkeypatch.setattr("furrow.operators.gram.HELD", 300)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "128")
+    try:
+        got = {(r.g, r.h): r for r in gram(df, ["g", "h"], ["a"], "y").collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert len(got) == 2100 and gram(df.limit(0), ["g", "h"], ["a"], "y").collect() == []
+    for key in ((0, "0"), (699, "2"), (350, "1")):
+        z = np.array([(1.0, a, y) for g, h, a, y in data if (g, h) == key])
+        np.testing.assert_allclose(S.unpack(got[key].m), z.T @ z, rtol=1e-12)
+        assert got[key].rows == len(z)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e6, 1e8])
+def test_fits_do_not_depend_on_the_level(spark, far):
+    """Slopes to 1e-6 whatever the mean, also where folds and groups lie far apart, for all models."""
+    rng = np.random.default_rng(12)
+    data, level_free = [], {}
+    for g, level in enumerate((far, -3 * far)):
+        x = rng.normal(size=(400, 2))
+        y = 2 * x[:, 0] - 3 * x[:, 1] + 0.01 * rng.normal(size=400)
+        exact = np.linalg.lstsq(np.c_[np.ones(400), x], y, rcond=None)[0]
+        pieces = [matrix(x[k::5], y[k::5]) for k in range(5)]
+        for model in ("ridge", "lasso"):
+            lam = linear._best_penalty(sum(pieces), pieces, linear.PENALISED[model])
+            level_free[g, model] = S.elastic_net(sum(pieces), linear.PENALISED[model], [lam])[1][0]
+        data += [(g, i, *(x[i] + level).tolist(), float(y[i] + 7 * level), i % 5, *exact.tolist()) for i in range(400)]
+    df = spark.createDataFrame(data, "g int, i int, a double, b double, y double, inner int, e0 double, ea double, eb double").repartition(6)
+    tol = 1e-6
+    want = {r.g: (r.ea, r.eb) for r in df.select("g", "ea", "eb").distinct().collect()}
+    table = gram(df, ["g"], ["a", "b"], "y")
+    for g, coef in by_group(linear.fit_ols(table, ["g"]), "coef").items():
+        np.testing.assert_allclose(coef[0], want[g], atol=tol)
+    for g, intercept, coef in [(r.g, r.intercept, r.coef) for r in linear.fit_ols(table, ["g"]).collect()]:
+        level = (far, -3 * far)[g]
+        assert abs(intercept - (7 * level - sum(c * level for c in coef))) < 1e-3 + 1e-6 * abs(level)
+    folds = gram(df, ["g", "inner"], ["a", "b"], "y")
+    found = {(r.g, r.model): r for r in linear.fit_models(folds, ["g"], ["ols", "pls", "bayes", "ridge", "lasso"]).collect()}
+    near = {k: r.coef for k, r in found.items()}
+    for g in want:
+        for model in ("ols", "pls", "bayes"):
+            np.testing.assert_allclose(near[g, model], want[g], atol=tol)
+        for model in ("ridge", "lasso"):
+            np.testing.assert_allclose(near[g, model], level_free[g, model], atol=tol)
+    table = {(r.g, r.term): r for r in linear.coef_table(gram(df, ["g"], ["a", "b"], "y"), ["g"], ["a", "b"]).collect()}
+    assert all(abs(table[g, "a"].se - 0.01 / 20) < 1e-4 for g in want)
+    trained = training_matrices(folds, ["g"], "inner", list(range(5)))
+    rest = gram(df.where("inner <> 3"), ["g"], ["a", "b"], "y")
+    by = {r.g: r.c for r in rest.collect()}
+    for r in trained.where("inner = 3").collect():
+        np.testing.assert_allclose(S.Moments(r.c).co, S.Moments(by[r.g]).co, rtol=1e-6, atol=1e-3)
+
+
+@pytest.mark.parametrize("far", [0.0, 1e8])
+def test_panel_slopes_do_not_depend_on_the_level(spark, far):
+    rng = np.random.default_rng(3)
+    data = [(g, t / 10, far * g + v, 5 * far - far * g + 0.3 * t + 2 * v) for g in range(4) for t, v in enumerate(rng.normal(size=50).tolist())]
+    got = fit_panel_trend(spark.createDataFrame(data, "g int, t double, a double, y double"), "g", "t", ["a"], "y").collect()
+    assert len(got) == 4 and all(abs(r.coef[2] - 2) < 1e-6 and abs(r.coef[0] - 3) < 1e-4 for r in got)
 
 
 def test_penalised_fits_are_optima():
@@ -89,7 +158,7 @@ def test_penalised_fits_are_optima():
 
 
 def test_weighted_and_pooled_gram(rows, data):
-    pooled = gram(rows.withColumn("w", F.lit(2.0)), [], FEATURES, "y", "w", native_limit=0).first()
+    pooled = gram(rows.withColumn("w", F.lit(2.0)), [], FEATURES, "y", "w").first()
     x = np.array([r[3:6] for r in data])
     y = np.array([r[6] for r in data])
     np.testing.assert_allclose(S.unpack(pooled["m"]), 2 * matrix(x, y), rtol=1e-10)
