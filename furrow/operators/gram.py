@@ -49,6 +49,14 @@ def gram(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, we
     return merged.select(*keys, "rows", known, raw_sums(F.col("c"), size).alias("m"))
 
 
+def merge_all(table: DataFrame) -> DataFrame:
+    """One row: ``rows`` and ``c`` of all groups of a table of ``gram`` together."""
+    size = _size_of(table)
+    partial = table.select("rows", "c")
+    few = partial.mapInArrow(lambda batches: _merged(batches, [], size), partial.schema)
+    return few.repartition(1).mapInArrow(lambda batches: _merged(batches, [], size), partial.schema)
+
+
 def _cells(size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(size)
 

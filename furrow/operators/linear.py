@@ -15,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from furrow.functions import solvers as S
-from furrow.functions.keys import attach, null_safe_join, spread
+from furrow.functions.keys import attach, complete, null_safe_join, spread
+from furrow.operators.gram import gram
 
 RESULT = [
     T.StructField("model", T.StringType()),
@@ -236,6 +237,62 @@ def cv_pls_errors(table: DataFrame, keys: Sequence[str], max_ncomp: int, part: s
     return _group_solve(table, keys, fields, solve, part)
 
 
+def loo_pls_errors(df: DataFrame, keys: Sequence[str], features: Sequence[str], y: str, max_ncomp: int) -> DataFrame:
+    """Error of 0..max_ncomp components with each row left out in turn: ``ncomp``, ``rmsep``, ``se``, ``rows``.
+
+    The co-moments of a group less one row differ from the group's by a product of that row with itself, so the rows are
+    read once to sum these and once to be left out; no group is fitted from its rows. ``se`` is
+    that of the mean error, from the spread of the rows' errors. Groups of fewer than three rows get none.
+    """
+    keys, features = list(keys), list(features)
+    size, top = len(features) + 2, min(max_ncomp, len(features))
+    used = complete(df, [*features, y]).select(*keys, F.array(*[F.col(c).cast("double") for c in [*features, y]]).alias("__z"))
+    named = used.select(*keys, *[F.col("__z")[i].alias(f"__f{i}") for i in range(size - 1)])
+    table = gram(named, keys, [f"__f{i}" for i in range(size - 2)], f"__f{size - 2}").where("rows > 2").select(*keys, "c")
+    both = attach(used, table, keys)
+
+    def errors(z: pd.Series, c: pd.Series) -> np.ndarray:
+        rows, packed = np.stack(z.to_numpy()), np.stack(c.to_numpy())
+        out = np.empty((len(rows), top + 1))
+        # rows of one group stand mostly together; each run of equal matrices is one stack
+        starts = np.flatnonzero(np.r_[True, (np.diff(packed, axis=0) != 0).any(axis=1)])
+        for a, b in zip(starts, [*starts[1:], len(rows)]):
+            for k in range(a, b, 4096):
+                part = rows[k : min(b, k + 4096)]
+                mean, co = S.leave_one_out(S.Moments(packed[a]), part)
+                slopes = S.many_partial_least_squares(co[:, :-1, :-1], co[:, :-1, -1], top)
+                apart = part - mean
+                out[k : k + len(part)] = apart[:, -1:] - np.einsum("nkp,np->nk", slopes, apart[:, :-1])
+        return out
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                found = errors(pdf["__z"], pdf["c"])
+                yield pdf[keys].assign(__e=list(found)) if keys else pd.DataFrame({"__e": list(found)})
+
+    schema = T.StructType(_fields(df, keys) + [T.StructField("__e", T.ArrayType(T.DoubleType()))])
+    left_out = both.mapInPandas(run, schema).select(*keys, F.posexplode("__e").alias("ncomp", "__e"))
+    return left_out.groupBy(*keys, "ncomp").agg(
+        F.sqrt(F.avg(F.col("__e") * F.col("__e"))).alias("rmsep"),
+        (F.stddev_samp("__e") / F.sqrt(F.count("__e"))).alias("se"),
+        F.count("__e").alias("rows"),
+    )
+
+
+def select_ncomp_loo(curve: DataFrame, keys: Sequence[str], floor: int = 1) -> DataFrame:
+    """Smallest number of components whose left-out error is within one standard error of the least."""
+    keys = list(keys)
+    best = curve.groupBy(*keys).agg(F.min_by(F.struct("rmsep", "se"), F.struct("rmsep", "ncomp")).alias("__best"))
+    limit = F.col("__best")["rmsep"] + F.coalesce(F.col("__best")["se"], F.lit(0.0))
+    return (
+        attach(curve, best, keys)
+        .where(F.col("rmsep") <= limit)
+        .groupBy(*keys)
+        .agg(F.greatest(F.min("ncomp"), F.lit(floor)).cast("int").alias("ncomp"))
+    )
+
+
 def select_ncomp(errors: DataFrame, keys: Sequence[str], floor: int = 1) -> DataFrame:
     """Smallest number of components within one standard error of the best."""
     keys = list(keys)

@@ -246,6 +246,46 @@ b AS (SELECT departement, rm AS best, se AS bse FROM c QUALIFY row_number() OVER
 nc AS (SELECT departement, CAST(greatest(min(ncomp), 1) AS INTEGER) AS ncomp FROM c JOIN b USING (departement) WHERE rm <= best + bse GROUP BY ALL)"""
 
 
+ANNUAL = "an AS (SELECT departement, year, avg(tn) AS tn, avg(tx) AS tx, avg(pr) AS pr, avg(etp) AS etp, avg(log_yield) AS log_yield FROM mp GROUP BY departement, year)"
+
+
+def _annual(spark, d):
+    return month_panel(spark, d).groupBy("departement", "year").agg(*[F.avg(c).alias(c) for c in [*FEATURES, "log_yield"]])
+
+
+def _pls_loo_sql(components: int) -> str:
+    """Every row left out in turn and the model fitted anew to the others."""
+    o = "OVER (PARTITION BY departement, part)"
+    mean = lambda e: f"sum(w * {e}) {o} / sum(w) {o}"
+    steps = [
+        ANNUAL,
+        "ex AS (SELECT a.*, b.year AS part, CASE WHEN a.year <> b.year THEN 1.0 ELSE 0.0 END AS w FROM an a JOIN (SELECT departement, year FROM an) b USING (departement))".replace("b USING (departement)", "b ON a.departement = b.departement"),
+        f"q0 AS (SELECT *, {', '.join(f'{x} - {mean(x)} AS x0_{i}' for i, x in enumerate(SQL_FEATURES))}, log_yield - {mean('log_yield')} AS v0 FROM ex)",
+    ]
+    for a in range(components):
+        xs, t = [f"x{a}_{i}" for i in range(4)], f"t{a}"
+        along = lambda e: f"sum(w * {e} * {t}) {o} / sum(w * {t} * {t}) {o} * {t}"
+        steps.append(f"w{a} AS (SELECT *, {' + '.join(f'sum(w * {x} * v{a}) {o} * {x}' for x in xs)} AS {t} FROM q{a})")
+        steps.append(f"q{a + 1} AS (SELECT *, {', '.join(f'{x} - {along(x)} AS x{a + 1}_{i}' for i, x in enumerate(xs))}, v{a} - {along(f'v{a}')} AS v{a + 1} FROM w{a})")
+    return ",\n".join(steps)
+
+
+@query("m6_loo_pls_errors", f"WITH {PANEL}, {_pls_loo_sql(3)} " + " UNION ALL ".join(
+    f"""SELECT departement, {k} AS ncomp, {r(f'sqrt(avg(v{k} * v{k}))', 'rmsep', 5)}, {r(f'stddev_samp(v{k}) / sqrt(count(*))', 'se', 5)}, count(*) AS rows
+ FROM q3 WHERE year = part GROUP BY departement HAVING count(*) > 2""" for k in range(4)))
+def _(spark, d):
+    return round_doubles(linear.loo_pls_errors(_annual(spark, d), ["departement"], FEATURES, "log_yield", 3), 5)
+
+
+@query("m7_select_ncomp_loo", f"""WITH {PANEL}, {_pls_loo_sql(3)}, e AS (""" + " UNION ALL ".join(
+    f"SELECT departement, {k} AS ncomp, sqrt(avg(v{k} * v{k})) AS rmsep, stddev_samp(v{k}) / sqrt(count(*)) AS se FROM q3 WHERE year = part GROUP BY departement HAVING count(*) > 2" for k in range(4)) + """),
+b AS (SELECT departement, rmsep + se AS upto FROM e QUALIFY row_number() OVER (PARTITION BY departement ORDER BY rmsep, ncomp) = 1)
+SELECT departement, CAST(greatest(min(ncomp), 1) AS INTEGER) AS ncomp FROM e JOIN b USING (departement) WHERE rmsep <= upto GROUP BY departement""")
+def _(spark, d):
+    curve = linear.loo_pls_errors(_annual(spark, d), ["departement"], FEATURES, "log_yield", 3)
+    return linear.select_ncomp_loo(curve, ["departement"])
+
+
 @query("m7_select_ncomp", f"WITH {PANEL}, {NCOMP} SELECT departement, ncomp FROM nc")
 def _(spark, d):
     rows = V.inner_folds(month_panel(spark, d), ROW, 10)
@@ -264,7 +304,56 @@ def _(spark, d):
 
 @query("m9_random_coef")
 def _(spark, d):
-    return fit_random_coef(_z_year(spark, d), "departement", "year_z", ["Tn", "PR"], "log_yield", iterations=12)
+    fits = fit_random_coef(_z_year(spark, d), "departement", "year_z", ["Tn", "PR"], "log_yield")
+    return round_doubles(fits.select("departement", "intercept", "coef", "converged"), 4)
+
+
+def _mixed_sql(levels: int = 12) -> str:
+    """Random intercepts: the likelihood of the residuals on ever finer grids of the variance share."""
+    f = ["t", "tn", "pr", "y"]
+    pairs = [(i, j) for i in range(4) for j in range(i, 4)]
+    mean = lambda x: f"sum(k * {x}) / sum(k)"
+    steps = [
+        "z AS (SELECT departement, (year - avg(year) OVER ()) / stddev_samp(year) OVER () AS t, tn, pr, log_yield AS y FROM mp)",
+        f"gm AS (SELECT departement, count(*)::DOUBLE AS n, {', '.join(f'avg({x}) AS {x}' for x in f)}, {', '.join(f'covar_pop({f[i]}, {f[j]}) * count(*) AS w{i}{j}' for i, j in pairs)} FROM z GROUP BY departement)",
+        f"wi AS (SELECT sum(n) AS total, {', '.join(f'sum(w{i}{j}) AS w{i}{j}' for i, j in pairs)} FROM gm)",
+        "l0 AS (SELECT 0.0::DOUBLE AS lo, 0.999999::DOUBLE AS hi)",
+    ]
+    for k in range(levels):
+        steps += [
+            f"g{k} AS MATERIALIZED (SELECT lo + (hi - lo) * i / 40.0 AS share, (hi - lo) / 40.0 AS step FROM l{k}, (SELECT unnest(range(41)) AS i))",
+            f"v{k} AS MATERIALIZED ({_mixed_value(f'g{k}', f, pairs, mean)})",
+            f"l{k + 1} AS MATERIALIZED (SELECT greatest(share - step, 0.0) AS lo, least(share + step, 0.999999) AS hi FROM v{k} QUALIFY row_number() OVER (ORDER BY loglik DESC, share) = 1)",
+        ]
+    return ",\n".join(steps)
+
+
+def _mixed_value(grid: str, f: list[str], pairs: list, mean) -> str:
+    """Per share of the grid: likelihood, slopes and the mean of y less their part."""
+    s = lambda i, j: f"s{min(i, j)}{max(i, j)}"
+    det = "(s00 * (s11 * s22 - s12 * s12) - s01 * (s01 * s22 - s12 * s02) + s02 * (s01 * s12 - s11 * s02))"
+
+    def slope(k: int) -> str:
+        c = [[s(i, j) if j != k else s(i, 3) for j in range(3)] for i in range(3)]
+        return (f"({c[0][0]} * ({c[1][1]} * {c[2][2]} - {c[1][2]} * {c[2][1]}) - {c[0][1]} * ({c[1][0]} * {c[2][2]} - {c[1][2]} * {c[2][0]})"
+                f" + {c[0][2]} * ({c[1][0]} * {c[2][1]} - {c[1][1]} * {c[2][0]})) / {det}")
+
+    return f"""SELECT *, -0.5 * ((total - 4) * ln(s33 - b0 * s03 - b1 * s13 - b2 * s23) + dets + ln(ks * {det})) AS loglik,
+      m3 - b0 * m0 - b1 * m1 - b2 * m2 AS level, (s33 - b0 * s03 - b1 * s13 - b2 * s23) / (total - 4) AS sigma2 FROM (
+    SELECT *, {', '.join(f'{slope(k)} AS b{k}' for k in range(3))} FROM (
+    SELECT share, step, ks, dets, total, {', '.join(f'm{i}' for i in range(4))}, {', '.join(f'w{i}{j} + k{i}{j} - ks * m{i} * m{j} AS s{i}{j}' for i, j in pairs)} FROM (
+    SELECT share, step, sum(k) AS ks, sum(ln(1 + n * share / (1 - share))) AS dets, {', '.join(f'{mean(x)} AS m{i}' for i, x in enumerate(f))},
+      {', '.join(f'sum(k * {f[i]} * {f[j]}) AS k{i}{j}' for i, j in pairs)} FROM (SELECT {grid}.*, gm.*, n / (1 + n * share / (1 - share)) AS k FROM {grid}, gm) GROUP BY share, step), wi))"""
+
+
+@query("m9_random_intercept", f"""WITH {PANEL}, {_mixed_sql()},
+best AS (SELECT * FROM v11 QUALIFY row_number() OVER (ORDER BY loglik DESC, share) = 1)
+SELECT departement, {r('level + share / (1 - share) * n / (1 + n * share / (1 - share)) * (y - level - b0 * t - b1 * tn - b2 * pr)', 'intercept', 4)},
+ {r('b0', 'trend', 5)}, {r('b1', '"Tn"', 5)}, {r('b2', '"PR"', 5)}, true AS converged FROM gm, best""")
+def _(spark, d):
+    fits = fit_random_coef(_z_year(spark, d), "departement", "year_z", ["Tn", "PR"], "log_yield", quadratic=False, random=1)
+    b = lambda i, name: rounded(F.col("coef")[i], 5).alias(name)
+    return fits.select("departement", rounded("intercept", 4).alias("intercept"), b(0, "trend"), b(1, "Tn"), b(2, "PR"), "converged")
 
 
 TWO = PANEL + """,
@@ -302,24 +391,24 @@ def _(spark, d):
 
 
 def _huber_sql(passes: int) -> str:
-    """Slope and intercept per group after reweighting; one CTE pair per pass."""
-    steps = ["h0 AS (SELECT departement, regr_slope(log_yield, pr) AS b, regr_intercept(log_yield, pr) AS a FROM mp GROUP BY departement)"]
+    """Slope and intercept per group after reweighting; more passes than any group needs."""
+    steps = ["h0 AS MATERIALIZED (SELECT departement, regr_slope(log_yield, pr) AS b, regr_intercept(log_yield, pr) AS a FROM mp GROUP BY departement)"]
     for i in range(passes):
         steps.append(
-            f"e{i} AS (SELECT mp.departement, pr, log_yield AS y, abs(log_yield - a - b * pr) AS r FROM mp JOIN h{i} USING (departement)),"
+            f"e{i} AS MATERIALIZED (SELECT mp.departement, pr, log_yield AS y, abs(log_yield - a - b * pr) AS r FROM mp JOIN h{i} USING (departement)),"
             f"s{i} AS (SELECT departement, median(r) / 0.6745 AS s FROM e{i} GROUP BY departement),"
-            f"u{i} AS (SELECT departement, pr AS x, y, least(1.0, 1.345 * s / r) AS w FROM e{i} JOIN s{i} USING (departement)),"
+            f"u{i} AS MATERIALIZED (SELECT departement, pr AS x, y, least(1.0, 1.345 * s / r) AS w FROM e{i} JOIN s{i} USING (departement)),"
             f"c{i} AS (SELECT departement, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM u{i} GROUP BY departement),"
-            f"h{i + 1} AS (SELECT u.departement, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS b,"
+            f"h{i + 1} AS MATERIALIZED (SELECT u.departement, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS b,"
             f" max(my) - sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) * max(mx) AS a FROM u{i} u JOIN c{i} USING (departement) GROUP BY u.departement)"
         )
     return ",\n".join(steps)
 
 
-@query("m12_fit_huber", f"WITH {PANEL}, {_huber_sql(3)} SELECT departement, {r('a', 'intercept')}, {r('b', 'slope')} FROM h3")
+@query("m12_fit_huber", f"WITH {PANEL.replace('mp AS (', 'mp AS MATERIALIZED (')}, {_huber_sql(40)} SELECT departement, {r('a', 'intercept')}, {r('b', 'slope')}, true AS converged FROM h40")
 def _(spark, d):
-    fits = fit_huber(month_panel(spark, d).select("departement", "PR", "log_yield"), ["departement"], ["PR"], "log_yield", passes=3)
-    return round_doubles(fits.select("departement", "intercept", F.col("coef")[0].alias("slope")))
+    fits = fit_huber(month_panel(spark, d).select("departement", "PR", "log_yield"), ["departement"], ["PR"], "log_yield")
+    return round_doubles(fits.select("departement", "intercept", F.col("coef")[0].alias("slope"), "converged"))
 
 
 def _line(pdf: pd.DataFrame) -> pd.DataFrame:

@@ -9,7 +9,7 @@ from furrow.operators import forest, linear
 from furrow.operators import validate as V
 from furrow.operators.gram import gram, sum_matrices, training_matrices
 from furrow.operators.loess import loess_trend
-from furrow.operators.panel_models import fit_panel_trend, fit_random_coef, panel_features
+from furrow.operators.panel_models import fit_panel_trend, fit_random_coef, panel_features, random_effects
 from furrow.operators.quality import gof
 from furrow.operators.robust import fit_huber
 from furrow.operators.scenario import detrend, rebase_after
@@ -140,6 +140,115 @@ def test_panel_slopes_do_not_depend_on_the_level(spark, far):
     assert len(got) == 4 and all(abs(r.coef[2] - 2) < 1e-6 and abs(r.coef[0] - 3) < 1e-4 for r in got)
 
 
+def test_leave_one_out_is_a_fit_to_the_others(rows, data):
+    got = {(r.g, r.ncomp): r for r in linear.loo_pls_errors(rows.repartition(5), ["g"], FEATURES, "y", 3).collect()}
+    for g in ("g1", "g2", "g3"):
+        x, y = dense(data, g)
+        errors = []
+        for i in range(len(y)):
+            rest = np.arange(len(y)) != i
+            a, b = S.partial_least_squares(matrix(x[rest], y[rest]), 3)
+            errors.append(y[i] - a - b @ x[i])
+        errors = np.array(errors)
+        for k in range(4):
+            assert got[g, k].rows == 60
+            np.testing.assert_allclose(got[g, k].rmsep, np.sqrt((errors[:, k] ** 2).mean()), rtol=1e-9)
+            np.testing.assert_allclose(got[g, k].se, errors[:, k].std(ddof=1) / np.sqrt(60), rtol=1e-9)
+    pooled = linear.loo_pls_errors(rows, [], FEATURES, "y", 2).collect()
+    assert {r.ncomp for r in pooled} == {0, 1, 2} and {r.rows for r in pooled} == {180}
+
+
+def _mixed(seed, groups, sizes, far=0.0):
+    rng = np.random.default_rng(seed)
+    out = []
+    for g in range(groups):
+        u = rng.multivariate_normal([0, 0], [[1.0, 0.3], [0.3, 0.5]])
+        for _ in range(sizes(g)):
+            t, x = rng.normal(size=2)
+            out.append((g, float(t), float(x + far), float(1 + u[0] + (2 + u[1]) * t - 0.7 * x + 0.5 * rng.normal())))
+    return out
+
+
+def _log_likelihood(data, q, cover, sigma2, reml):
+    """From the dense covariance of every group."""
+    xx, xy, yy, det, n = np.zeros((3, 3)), np.zeros(3), 0.0, 0.0, len(data)
+    for g in {r[0] for r in data}:
+        m = np.array([(1.0, r[1], r[2], r[3]) for r in data if r[0] == g])
+        v = sigma2 * np.eye(len(m)) + m[:, :q] @ cover @ m[:, :q].T
+        inv = np.linalg.inv(v)
+        xx, xy, yy = xx + m[:, :3].T @ inv @ m[:, :3], xy + m[:, :3].T @ inv @ m[:, 3], yy + m[:, 3] @ inv @ m[:, 3]
+        det += np.linalg.slogdet(v)[1]
+    value = -0.5 * (det + yy - xy @ np.linalg.solve(xx, xy))
+    return value - 0.5 * np.linalg.slogdet(xx)[1] if reml else value
+
+
+@pytest.mark.parametrize("reml,q", [(True, 2), (False, 2), (True, 1)])
+def test_mixed_model_is_at_the_maximum(spark, reml, q):
+    data = _mixed(6, 12, lambda g: 5 + g)
+    df = spark.createDataFrame(data, "g int, t double, x double, y double")
+    fit = random_effects(gram(df, ["g"], ["t", "x"], "y").select("g", "rows", "c"), q, 3, reml)
+    assert fit.converged and fit.passes < 40
+    # the covariance is that of terms counted from the point, where t is not zero
+    moved = [(g, t - fit.point[0], x - fit.point[1], y) for g, t, x, y in data]
+    best = _log_likelihood(moved, q, fit.cover, fit.sigma2, reml)
+    rng = np.random.default_rng(1)
+    for _ in range(40):
+        step = rng.normal(size=(q, q)) * 0.02
+        worse = _log_likelihood(moved, q, fit.cover + (step + step.T) / 2, fit.sigma2 * (1 + 0.02 * rng.normal()), reml)
+        assert worse <= best + 1e-9
+
+
+def test_balanced_random_intercepts_have_a_closed_form(spark):
+    rng = np.random.default_rng(8)
+    u = rng.normal(size=9)
+    t = rng.normal(size=7)
+    data = [(g, float(a), float(3 + u[g] + 0.5 * a + 0.4 * rng.normal())) for g in range(9) for a in t]
+    y = np.array([r[2] for r in data]).reshape(9, 7)
+    slope = ((t - t.mean()) * (y - y.mean())).sum() / (9 * ((t - t.mean()) ** 2).sum())
+    left = y - slope * (t - t.mean())
+    within = ((left - left.mean(axis=1, keepdims=True)) ** 2).sum() / (9 * 6 - 1)
+    between = 7 * ((left.mean(axis=1) - left.mean()) ** 2).sum() / 8
+    df = spark.createDataFrame(data, "g int, t double, y double")
+    fit = random_effects(gram(df, ["g"], ["t"], "y").select("g", "rows", "c"), 1, 2)
+    np.testing.assert_allclose([fit.sigma2, fit.cover[0, 0]], [within, (between - within) / 7], rtol=1e-6)
+    shrunk = 1 - within / between
+    for r in fit_random_coef(df, "g", "t", [], "y", quadratic=False, random=1).collect():
+        want = left.mean() + shrunk * (left[r.g].mean() - left.mean()) - slope * t.mean()
+        np.testing.assert_allclose([r.intercept, r.coef[0]], [want, slope], rtol=1e-6)
+        assert r.converged
+
+
+def test_no_variance_between_groups_and_tiny_tables(spark):
+    """The best covariance lies on the border; one group, and no row."""
+    rng = np.random.default_rng(5)
+    data = [(g, float(t), float(1 + 2 * t + e)) for g in range(6) for t, e in zip(range(10), rng.permutation(np.tile([-1.0, 1.0], 5)))]
+    df = spark.createDataFrame(data, "g int, t double, y double")
+    got = fit_random_coef(df, "g", "t", [], "y", quadratic=False, random=1).collect()
+    assert len(got) == 6 and all(r.converged for r in got)
+    assert fit_random_coef(df.where("g = 0"), "g", "t", [], "y", quadratic=False, random=1).count() == 1
+    assert fit_random_coef(df.limit(0), "g", "t", [], "y").collect() == []
+
+
+def test_huber_stops_each_group_by_itself(spark):
+    rng = np.random.default_rng(2)
+    data = [(0, float(i), 1 + 2.0 * i) for i in range(30)]  # exact at once
+    data += [(1, float(i), float(5 - i + rng.standard_t(2))) for i in range(80)]
+    df = spark.createDataFrame(data, "g int, x double, y double").repartition(4)
+    got = {r.g: r for r in fit_huber(df, ["g"], ["x"], "y").collect()}
+    x, y = np.array([r[1] for r in data if r[0] == 1]), np.array([r[2] for r in data if r[0] == 1])
+    w = np.ones(80)
+    for _ in range(500):
+        z = np.c_[np.ones(80), x]
+        b = np.linalg.solve(z.T @ (w[:, None] * z), z.T @ (w * y))
+        left = np.abs(y - z @ b)
+        w = np.minimum(1, 1.345 * np.median(left) / 0.6745 / left)
+    np.testing.assert_allclose([got[1].intercept, *got[1].coef], b, rtol=1e-6)
+    assert got[0].converged and got[1].converged and got[0].passes < got[1].passes
+    short = {r.g: r for r in fit_huber(df, ["g"], ["x"], "y", passes=2).collect()}
+    assert not short[1].converged and short[1].passes == 2 and len(short) == 2
+    assert fit_huber(df, [], ["x"], "y").count() == 1
+
+
 def test_penalised_fits_are_optima():
     rng = np.random.default_rng(4)
     t = rng.normal(15, 3, (60, 4))
@@ -251,7 +360,7 @@ def test_panel_trend_equals_dummies(rows, data):
 
 def test_random_coef_shrinks_to_ols_without_group_effects(rows, data):
     timed = rows.withColumn("t", (F.col("year") - 1995) / 3.0)
-    got = by_group(fit_random_coef(timed, "g", "t", FEATURES, "y", iterations=20), "coef")
+    got = by_group(fit_random_coef(timed, "g", "t", FEATURES, "y"), "coef")
     for (coef,) in got.values():
         np.testing.assert_allclose(coef[2:], [1.0, -0.5, 0.0], atol=0.15)
         assert abs(coef[0]) < 0.1 and abs(coef[1]) < 0.1
