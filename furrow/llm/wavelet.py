@@ -34,8 +34,7 @@ from furrow.session import scratch_path
 SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
-WORDS_KEPT = 1_000_000
-SHORT = 12
+WORDS_KEPT = 400_000  # a worker's memory, some 200 bytes a word
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes array<binary>, counts array<binary>"
@@ -169,6 +168,7 @@ class WordEncoder:
         self.kind, self.code = (np.uint16, "H") if self.bits <= 16 else (np.uint32, "I")
         self.mark = self._encoded(SEPARATOR)
         self.memory: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.by_piece = self._pieces_agree()
 
     def _encoded(self, text: str) -> list[int]:
@@ -187,7 +187,7 @@ class WordEncoder:
 
     def _of_letters(self, letters: bytes) -> bytes:
         """Ids of a word of letters, or of signs, alone."""
-        ids = self.memory.get(letters)
+        ids = self.memory.get(letters) or self.older.get(letters)
         if ids is None:
             shown = letters.lower().decode() if letters.isascii() else "".join([BYTE_SIGNS[b] for b in letters.decode().lower().encode()])
             ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
@@ -226,12 +226,17 @@ class WordEncoder:
                 self.memory[w] = np.array(self._encoded(w.decode()), self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.memory) > WORDS_KEPT:  # short words come again soonest
-            short = {w: ids for w, ids in self.memory.items() if len(w) <= SHORT}
-            self.memory = short if len(short) < WORDS_KEPT // 2 else {}
+        if len(self.memory) > WORDS_KEPT // 2:  # words met again move on to the new half, the others are forgotten
+            self.memory, self.older = {}, self.memory
         split = [t.split() for t in texts]
         known = [list(map(self.memory.get, words)) for words in split]
-        self._learn(list({w for words, ids in zip(split, known) if None in ids for w, x in zip(words, ids) if x is None}))
+        new = []
+        for w in {w for words, ids in zip(split, known) if None in ids for w, x in zip(words, ids) if x is None}:
+            if w in self.older:
+                self.memory[w] = self.older[w]
+            else:
+                new.append(w)
+        self._learn(new)
         memory = self.memory
         for words, ids in zip(split, known):
             if None in ids:
