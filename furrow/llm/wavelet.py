@@ -34,7 +34,7 @@ from furrow.session import scratch_path
 SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
-WORDS_KEPT = 400_000  # a worker's memory, some 200 bytes a word
+WORDS_KEPT = 1_200_000  # a worker's memory, some 200 bytes a word
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes array<binary>, counts array<binary>"
@@ -169,6 +169,7 @@ class WordEncoder:
         self.mark = self._encoded(SEPARATOR)
         self.memory: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
+        self.kept = WORDS_KEPT
         self.by_piece = self._pieces_agree()
 
     def _encoded(self, text: str) -> list[int]:
@@ -226,7 +227,7 @@ class WordEncoder:
                 self.memory[w] = np.array(self._encoded(w.decode()), self.kind).tobytes()
 
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if len(self.memory) > WORDS_KEPT // 2:  # words met again move on to the new half, the others are forgotten
+        if len(self.memory) > self.kept // 2:  # words met again move on to the new half, the others are forgotten
             self.memory, self.older = {}, self.memory
         split = [t.split() for t in texts]
         known = [list(map(self.memory.get, words)) for words in split]
@@ -253,13 +254,14 @@ def _encoder(path: str) -> WordEncoder:
     return _ENCODERS[path]
 
 
-def _shards(vocabulary: str, end_id: int, shard_tokens: int):
+def _shards(vocabulary: str, end_id: int, shard_tokens: int, words_kept: int):
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import public_tokenizers
         from pyspark import TaskContext
 
         part = TaskContext.get().partitionId()
         encoder = _encoder(public_tokenizers.path(vocabulary) if "/" not in vocabulary else vocabulary)
+        encoder.kept = words_kept
         end = np.array([end_id], encoder.kind)
         seq, docs, pieces, held = 0, [], [], 0
 
@@ -298,12 +300,13 @@ SHARD_ARROW = pa.schema(
 
 
 def write_shards(
-    docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS
+    docs: DataFrame, path: str, vocabulary: str = "word_bpe_49k.json", end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS,
+    words_kept: int = WORDS_KEPT,
 ) -> None:
     """Encode ``docs`` (``doc_id``, ``text``) in ascending order of id into shard files below ``path``."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = rows.repartitionByRange("doc_id", "tie").sortWithinPartitions("doc_id", "tie").drop("tie")
-    shards = ordered.mapInArrow(_shards(vocabulary, end_id, shard_tokens), SHARD_SCHEMA)
+    shards = ordered.mapInArrow(_shards(vocabulary, end_id, shard_tokens, words_kept), SHARD_SCHEMA)
     shards.write.option("maxRecordsPerFile", 1).option("compression", "none").parquet(path)
 
 
@@ -383,8 +386,13 @@ def occurrences(spark: SparkSession, path: str, token: int) -> DataFrame:
     return columns.mapInArrow(find, "doc_id long, position long")
 
 
-def encoded_documents(docs: DataFrame, vocabulary: str = "word_bpe_49k.json", shard_tokens: int = SHARD_TOKENS) -> DataFrame:
-    """Write ``docs`` to shard files in the shared folder and describe each document from them."""
+def encoded_documents(
+    docs: DataFrame, vocabulary: str = "word_bpe_49k.json", shard_tokens: int = SHARD_TOKENS, words_kept: int = WORDS_KEPT
+) -> DataFrame:
+    """Write ``docs`` to shard files in the shared folder and describe each document from them.
+
+    ``words_kept`` bounds the words a Python worker remembers; fewer take less memory and more time.
+    """
     path = scratch_path(docs.sparkSession, "wavelet")
-    write_shards(docs, path, vocabulary, END_ID, shard_tokens)
+    write_shards(docs, path, vocabulary, END_ID, shard_tokens, words_kept)
     return document_digests(docs.sparkSession, path)
