@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from furrow.llm import jaccard, pareto, quality, templates, wavelet
 from furrow.session import configure, written
 
+WORDS_KEPT = 400_000  # of a worker: executors that ran the other stages have less memory to spare
 ORACLE_SQL = None  # tokenizer and components are beyond SQL; tests/llm compares with brute force
 
 
@@ -42,7 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token files; per document its place, length and checksum as read back from them."""
     configure(spark)
-    return wavelet.encoded_documents(docs)
+    return wavelet.encoded_documents(docs, words_kept=WORDS_KEPT)
 
 
 STAGES = [
