@@ -296,10 +296,46 @@ def _(spark, d):
 @query("m8_forest_cross_validated")
 def _(spark, d):
     folded = V.block_folds(month_panel(spark, d), "year")
+    scored = forest.cross_validate_forest(folded, FEATURES, "log_yield", "fold", V.fold_labels(V.TWO_FOLDS), "departement")
+    return round_doubles(scored.select(*ROW, "fold", "model", "pred"))
+
+
+def _tree_sql(min_leaf: int = 5) -> str:
+    """One tree per fold and department over all rows and features: a step of the recursion is a level."""
+    node = "turn, departement, node"
+    return f"""WITH RECURSIVE {PANEL}, fo AS (SELECT *, {fold_sql('year', (0.5, 1.0))} AS fold FROM mp),
+turns AS (SELECT fo.*, turn, fold <> turn AS learn FROM fo, (VALUES ('Y1'), ('Y2')) v(turn)),
+lim AS (SELECT min(log_yield) AS lo, max(log_yield) AS hi FROM turns WHERE learn),
+b AS (SELECT turn, departement, year, month, fold, learn, [{', '.join(r(x) for x in SQL_FEATURES)}] AS x,
+  CAST(round(((log_yield - lo) / (hi - lo) - 0.5) * {1 << 40}) AS BIGINT) AS u FROM turns, lim),
+grown AS (
+  SELECT *, '' AS node, true AS open FROM b
+  UNION ALL
+  SELECT * FROM (
+    WITH cells AS (SELECT {node}, k, x[k] AS v, count(*) AS n, sum(u) AS s, min(u) AS low, max(u) AS high
+      FROM grown, (SELECT unnest(range(1, {len(SQL_FEATURES) + 1})) AS k) WHERE open AND learn GROUP BY ALL),
+    runs AS (SELECT {node}, k, v, lead(v) OVER o AS nxt, sum(n) OVER o AS n1, sum(s) OVER o AS s1,
+      sum(n) OVER w AS n, sum(s) OVER w AS s, min(low) OVER w AS low, max(high) OVER w AS high
+      FROM cells WINDOW o AS (PARTITION BY {node}, k ORDER BY v ROWS UNBOUNDED PRECEDING), w AS (PARTITION BY {node}, k)),
+    scored AS (SELECT *, s1::DOUBLE * s1::DOUBLE / n1::DOUBLE + (s - s1)::DOUBLE * (s - s1)::DOUBLE / (n - n1)::DOUBLE AS score
+      FROM runs WHERE nxt IS NOT NULL AND n1 >= {min_leaf} AND n - n1 >= {min_leaf} AND low < high),
+    best AS (SELECT {node}, k, (v + nxt) / 2 AS border FROM scored QUALIFY row_number() OVER (PARTITION BY {node} ORDER BY score DESC, k, v) = 1)
+    SELECT g.turn, g.departement, year, month, fold, learn, x, u,
+      g.node || CASE WHEN k IS NULL THEN '' WHEN x[k] <= border THEN 'l' ELSE 'r' END AS node, k IS NOT NULL AS open
+    FROM grown g LEFT JOIN best USING ({node}) WHERE g.open)),
+leaf AS (SELECT {node}, sum(u)::DOUBLE / count(*) AS mean FROM grown WHERE learn AND NOT open GROUP BY ALL)
+SELECT departement, year, month, fold, 'rf' AS model, {r(f'(mean / {1 << 40} + 0.5) * (hi - lo) + lo', 'pred')}
+FROM grown LEFT JOIN leaf USING ({node}), lim WHERE NOT learn AND NOT open"""
+
+
+@query("m8_tree_cross_validated", _tree_sql())
+def _(spark, d):
+    panel = month_panel(spark, d).withColumns({f: rounded(f, 6) for f in FEATURES})
+    folded = V.block_folds(panel, "year")
     scored = forest.cross_validate_forest(
-        folded, FEATURES, "log_yield", "fold", V.fold_labels(V.TWO_FOLDS), "departement", n_trees=20, mtry=4, max_depth=6
+        folded, FEATURES, "log_yield", "fold", V.fold_labels(V.TWO_FOLDS), "departement", n_trees=1, mtry=len(FEATURES), bootstrap=False
     )
-    return scored.select(*ROW, "fold", "model", "pred")
+    return round_doubles(scored.select(*ROW, "fold", "model", "pred"))
 
 
 @query("m9_random_coef")

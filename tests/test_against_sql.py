@@ -16,7 +16,7 @@ CHOSEN = """p5_parse_decimal p17_cut_width p22_derive_variable f9_min_group_size
 j7_mutual_domain j10_grid j12_code_lookup a7_iqr a10_missing_share a12_boxplot_stats a14_density_grid r3_feature_wide r4_nest_unnest
 s1_read_tagged s3_read_decimal_comma t1_expand_seasons t3_fit_diagnostics t4_best_poly t5_loess_trend t9_mean_anomaly t10_rebase_after
 t12_normalise_by_reference t13_join_panel m0_gram_many_features m3_weighted_panel_trend m4_elastic_net m6_fit_pls m7_select_ncomp
-m17_cv_split m18_cross_validate m19_cross_validate_pooled m23_regional_production m25_coef_table q1_gof""".split()
+m8_tree_cross_validated m17_cv_split m18_cross_validate m19_cross_validate_pooled m23_regional_production m25_coef_table q1_gof""".split()
 SQL = entry.oracle_sql()
 NAMES = list(SQL) if os.environ.get("FURROW_ALL") else CHOSEN
 

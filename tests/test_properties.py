@@ -392,6 +392,30 @@ def test_forest_repeats_and_beats_mean(rows):
     assert np.mean((pred - y) ** 2) < 0.7 * np.var(y)
 
 
+def test_forest_grows_without_a_limit_of_depth(spark):
+    # one value each, so that a tree without bagging ends only at single rows
+    n = 300
+    train = spark.range(n).select(F.col("id").cast("double").alias("x"), F.pow(F.lit(1.05), F.col("id")).alias("y"))
+    score = forest.fit_forest(train, ["x"], "y", n_trees=1, mtry=1, min_leaf=1, bootstrap=False)
+    got = score(train.select("x", F.col("y").alias("seen"))).collect()
+    assert len(got) == n and all(r.pred == pytest.approx(r.seen, rel=1e-6, abs=1e-4) for r in got)
+
+
+def test_forest_edges(spark):
+    schema = "g string, x double, y double, t boolean"
+    some = [("a", float(i), float(i > 4), True) for i in range(10)] + [("a", 1.0, None, True), ("a", None, 1.0, True), ("a", 2.0, float("nan"), True)]
+    asked = [("a", 0.0, None, False), ("a", 9.0, None, False), ("b", 1.0, None, False), ("a", None, None, False), (None, 1.0, None, False)]
+    options = dict(n_trees=3, min_leaf=2, bootstrap=False)
+    rows = spark.createDataFrame(some + asked, schema)
+    got = {(r.g, r.x): r.pred for r in forest.forest_predictions(rows, ["x"], "y", F.col("t"), ["g"], **options).where("not t").collect()}
+    assert got == {("a", 0.0): pytest.approx(0.0, abs=1e-9), ("a", 9.0): pytest.approx(1.0), ("b", 1.0): None, (None, 1.0): None}
+    flat = spark.createDataFrame([("a", 1.0, 5.0, True), ("a", 2.0, 5.0, True), ("a", 3.0, None, False)], schema)
+    assert [r.pred for r in forest.forest_predictions(flat, ["x"], "y", F.col("t"), ["g"], **options).collect()] == [5.0]
+    assert forest.forest_predictions(rows.limit(0), ["x"], "y", F.col("t"), ["g"], **options).count() == 0
+    binned = forest.forest_predictions(rows, ["x"], "y", F.col("t"), ["g"], bins=4, **options).where("g = 'a' and not t").collect()
+    assert sorted(r.pred for r in binned)[0] < 0.3 and sorted(r.pred for r in binned)[1] > 0.7
+
+
 def test_cross_validation_covers_every_row_once_per_model(rows):
     quality, pred = V.cross_validate(rows, ["g"], FEATURES, "y", ("ols", "lasso", "pls"), row_keys=["g", "i"], response_is_log=False)
     assert {r["model"]: r["count"] for r in pred.groupBy("model").count().collect()} == {"ols": 180, "lasso": 180, "pls": 180}
