@@ -20,8 +20,9 @@ searched for exact windows only of the lengths that the index holds. The windows
 ``BROADCAST_WINDOWS`` they are sent to every task, so the windows of documents are not shuffled, and beyond that
 the join is left to Spark.
 
-Native DataFrame functions only. Null and empty texts have no windows. A null ``doc_id`` is a document of its
-own kind: all rows of one id, null too, count as one. Repeated benchmark rows are each reported.
+Native DataFrame functions only. Null and empty texts have no windows. A document is a row: rows of one id, null
+too, that differ in text are matched, reported and dropped each by itself; rows equal in id and text are reported
+once and dropped together. Repeated benchmark rows are each reported.
 Empty tables give an empty result. Other columns are not looked at.
 """
 
@@ -41,6 +42,7 @@ MIN_COVER = 40
 MIN_CONSISTENT = 0.9
 BROADCAST_WINDOWS = 1_000_000  # rows of about 60 bytes
 BROADCAST_IDS = 1_000_000
+TEXT_KEY = "__text_key"
 
 # fixed values: units that follow a number
 UNITS = (
@@ -200,6 +202,11 @@ def benchmark_windows(items: DataFrame, id_col: str = "item_id", text_col: str =
     )
 
 
+def _text_key(docs: DataFrame) -> Column:
+    """Tells rows of one id apart."""
+    return F.xxhash64(docs["text"])
+
+
 def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, windows, item_windows, cover, consistency, total_windows, total_cover) of each match of document and item.
 
@@ -207,6 +214,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     ``total_windows`` found in any form. ``consistency`` the least share of slot values
     that stand for one value among the matches that count.
     """
+    return _matches(docs, items).drop(TEXT_KEY)
+
+
+def _matches(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """The result of ``contaminated`` with the key of the text."""
     index = written(benchmark_windows(items), "template-windows")
     few = index.count() <= BROADCAST_WINDOWS
     sizes = [r[0] for r in index.select("exact").distinct().where("exact is not null").collect()]  # at most WINDOW of them
@@ -220,11 +232,11 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     tokens = tokens_of(F.col("text"))
     windows = let(tokens, pieces_of) if sizes or renamed else pieces_of(tokens)
     # the outer form: the other one makes the optimiser test the arrays for rows, and compute them twice for that
-    pieces = docs.select("doc_id", windows.alias("w")).select("doc_id", F.inline_outer("w"))
+    pieces = docs.select("doc_id", _text_key(docs).alias(TEXT_KEY), windows.alias("w")).select("doc_id", TEXT_KEY, F.inline_outer("w"))
     met = pieces.join(F.broadcast(index) if few else index, "h").withColumn("shift", F.col("pos") - F.col("item_pos"))
     pair = lambda a, b: F.when(F.col(a).isNotNull(), F.struct(F.col(a).alias("item"), F.col(b).alias("doc")))
     # a match has at most as many rows as the item has windows
-    matches = met.groupBy("doc_id", "item_id", "item_windows", "shift").agg(
+    matches = met.groupBy("doc_id", TEXT_KEY, "item_id", "item_windows", "shift").agg(
         F.collect_set(F.when(F.col("plain") & F.col("item_plain"), F.col("item_pos"))).alias("found"),
         F.collect_set("item_pos").alias("found_all"),
         F.array_union(F.collect_set(pair("item_first", "first")), F.collect_set(pair("item_last", "last"))).alias("slots"),
@@ -236,7 +248,7 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     names = F.filter("slots", lambda s: s["item"].startswith(NAME))
     consistent = matches.where(single(names) >= MIN_CONSISTENT).withColumn("consistency", single(F.col("slots")))
     union = lambda c: F.size(F.array_distinct(F.flatten(F.collect_list(c))))
-    total = consistent.groupBy("doc_id", "item_id", "item_windows").agg(
+    total = consistent.groupBy("doc_id", TEXT_KEY, "item_id", "item_windows").agg(
         union("found").alias("windows"), union("found_all").alias("total_windows"), F.min("consistency").alias("consistency")
     )
     share = lambda n: 100.0 * n / F.col("item_windows")
@@ -249,11 +261,14 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
         F.round("consistency", 6).alias("consistency"),
         "total_windows",
         F.round(share(F.col("total_windows")), 3).alias("total_cover"),
+        TEXT_KEY,
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
     """``docs`` without the documents that an item contaminates."""
-    ids = written(contaminated(docs, items).select(F.col("doc_id").alias("__leak")).distinct(), "template-leaks")
-    few = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if few else ids, F.col("doc_id").eqNullSafe(F.col("__leak")), "left_anti")
+    found = _matches(docs, items).select(F.col("doc_id").alias("__leak"), F.col(TEXT_KEY).alias("__leak_text")).distinct()
+    leaks = written(found, "template-leaks")
+    few = leaks.count() <= BROADCAST_IDS
+    same = docs["doc_id"].eqNullSafe(F.col("__leak")) & (_text_key(docs) == F.col("__leak_text"))
+    return docs.join(F.broadcast(leaks) if few else leaks, same, "left_anti")

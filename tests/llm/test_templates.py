@@ -123,3 +123,13 @@ def test_repeated_number_may_split_and_first_words_may_be_names(spark):
     assert set(found) == {(1, 7), (2, 8), (3, 7)}
     assert found[1, 7].total_cover == 100.0 and found[1, 7].consistency < 0.9
     assert found[2, 8].total_cover == 100.0 and found[3, 7].total_cover == 100.0
+
+
+def test_rows_of_one_id_are_told_apart(spark):
+    one, two = PAT, PAT.replace("Clara", "Doris")
+    rows = [(k, t) for k in (None, 5) for t in (one, two, PLAIN, None)] + [(5, one), (7, two)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    items = spark.createDataFrame([(1, TOM)], "item_id long, text string")
+    assert sorted(str(r.doc_id) for r in M.contaminated(docs, items).collect()) == ["5", "5", "7", "None", "None"]
+    left = sorted((str(r.doc_id), str(r.text)) for r in M.clean_documents(docs, items).collect())
+    assert left == sorted((str(k), str(t)) for k, t in rows if t in (PLAIN, None))
