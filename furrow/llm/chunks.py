@@ -14,8 +14,9 @@ Counts are summed before the shuffle and joined back, so a chunk in a third of a
 row of counts, and its rows are split by the join. Chunks of one document are put in order, never
 those of one digest.
 
-Null and empty texts have no chunks. A chunk that recurs in its own document only is not repeated. Rows of
-one id are one document; null ids are one document before all others. An empty table gives an empty
+Null and empty texts have no chunks. A chunk that recurs in its own document only is not repeated. Rows of one id are
+one holder, and null ids one before all others, so such rows take nothing from each other; rows that differ in text have
+spans of their own, and each is cut by its own only. An empty table gives an empty
 result. Other columns are kept by ``without_repeats`` and not looked at otherwise.
 """
 
@@ -37,6 +38,7 @@ MASK_BITS = 5  # a cut every 32 bytes past the least length
 SPAN = 80
 GEAR = np.random.Generator(np.random.PCG64(77)).integers(0, 2**32, 256, dtype=np.uint32)
 NO_ID = -(2**63)
+TEXT_KEY = "__text_key"  # tells rows of one id apart
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
@@ -70,21 +72,22 @@ def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     import xxhash
 
     for batch in batches:
-        ids = batch.column(0).to_numpy(zero_copy_only=False)
+        ids, keys = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 2))
         for first, data, offsets in text_slices(batch.column(1)):
             raw = data.tobytes()
-            doc, at, size, digest = [], [], [], []
+            doc, key, at, size, digest = [], [], [], [], []
             for k, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
                 start = 0
                 for end in chunk_ends(data[a:b]):
                     doc.append(ids[first + k])
+                    key.append(keys[first + k])
                     at.append(start)
                     size.append(end - start)
                     digest.append(xxhash.xxh3_128_digest(raw[a + start : a + end]))
                     start = end
             yield pa.RecordBatch.from_arrays(
-                [pa.array(doc, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())],
-                ["id", "at", "size", "digest"],
+                [pa.array(doc, pa.int64()), pa.array(key, pa.int64()), pa.array(at, pa.int32()), pa.array(size, pa.int32()), pa.array(digest, pa.binary())],
+                ["id", TEXT_KEY, "at", "size", "digest"],
             )
 
 
@@ -94,19 +97,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     ``doc_id``, ``start`` and ``n_bytes`` (UTF-8 bytes of its text), ``n_chunks``, ``first_doc_id`` (the least id that holds
     the first chunk of the span) and ``removed_bytes``, the bytes of which an earlier holder exists.
     """
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
-    chunks = written(texts.mapInArrow(_chunks, "id long, at int, size int, digest binary"), "chunks")
+    return _spans(docs).drop(TEXT_KEY)
+
+
+def _spans(docs: DataFrame) -> DataFrame:
+    """The result of ``repeated_spans`` with the key of the text."""
+    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias(TEXT_KEY))
+    chunks = written(texts.mapInArrow(_chunks, f"id long, {TEXT_KEY} long, at int, size int, digest binary"), "chunks")
     holders = chunks.groupBy("digest").agg(F.min("id").alias("first_id"), F.max("id").alias("last_id"))
     repeated = chunks.join(holders.where("first_id < last_id").select("digest", "first_id"), "digest")
-    order = Window.partitionBy("id").orderBy("at")
+    order = Window.partitionBy("id", TEXT_KEY).orderBy("at")
     held = F.col("first_id") < F.col("id")
     goes_on = (F.col("at") == F.lag(F.col("at") + F.col("size")).over(order)) & (held == F.lag(held).over(order))
     new = F.when(goes_on, 0).otherwise(1)
     spans = (
-        repeated.dropDuplicates(["id", "at", "digest"])
+        repeated.dropDuplicates(["id", TEXT_KEY, "at", "digest"])
         .withColumn("new", new)
         .withColumn("span", F.sum("new").over(order))
-        .groupBy("id", "span")
+        .groupBy("id", TEXT_KEY, "span")
         .agg(
             F.min("at").alias("start"),
             F.sum("size").alias("n_bytes"),
@@ -117,7 +125,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     )
     hidden = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
     return spans.where(F.col("n_bytes") >= SPAN).select(
-        hidden("id").alias("doc_id"), F.col("start").cast("long").alias("start"), "n_bytes", "n_chunks", hidden("first").alias("first_doc_id"), "removed_bytes"
+        hidden("id").alias("doc_id"), F.col("start").cast("long").alias("start"), "n_bytes", "n_chunks", hidden("first").alias("first_doc_id"), "removed_bytes", TEXT_KEY
     )
 
 
@@ -126,11 +134,10 @@ def without_repeats(docs: DataFrame) -> DataFrame:
 
     Spans are cut where they begin and end between code points, inwards.
     """
-    cuts = repeated_spans(docs).where(F.col("removed_bytes") == F.col("n_bytes"))
-    lists = written(
-        cuts.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("__cuts")).withColumnRenamed("doc_id", "__id"), "chunk-cuts"
-    )
-    joined = docs.join(lists, F.col("doc_id").eqNullSafe(F.col("__id")), "left")
+    cuts = _spans(docs).where(F.col("removed_bytes") == F.col("n_bytes"))
+    spans = F.sort_array(F.collect_list(F.struct("start", "n_bytes"))).alias("__cuts")
+    lists = written(cuts.groupBy(F.col("doc_id").alias("__id"), F.col(TEXT_KEY).alias("__text")).agg(spans), "chunk-cuts")
+    joined = docs.join(lists, docs["doc_id"].eqNullSafe(F.col("__id")) & (F.xxhash64(docs["text"]) == F.col("__text")), "left")
 
     def cut(texts: pd.Series, spans: pd.Series) -> pd.Series:
         out = []

@@ -106,3 +106,15 @@ def test_copies_of_a_text_with_a_shared_passage(spark):
     spans = C.repeated_spans(docs).where("doc_id = 2").collect()
     assert {(r.removed_bytes == 0, r.first_doc_id) for r in spans} == {(False, 1), (True, 2)}
     assert all(r.removed_bytes in (0, r.n_bytes) for r in spans)
+
+
+def test_rows_of_one_id_are_cut_each_by_itself(spark):
+    rng = random.Random(11)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+    p, q, z, own = words(90), words(100), words(40), words(60)
+    rows = [(1, p), (5, p + " " + z), (5, q), (None, own), (None, q[:200] + own[:150])]
+    left = C.without_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    got = sorted((r.doc_id or 0, r.text) for r in left)
+    assert len(got) == 5 and (1, p) in got and (0, own) in got and (0, rows[4][1]) in got
+    (a, b) = sorted((t for d, t in got if d == 5), key=len)
+    assert z in a and len(a) < len(z) + 200 and q[200:] in b  # each of them loses only what another id holds
