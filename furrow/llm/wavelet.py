@@ -10,7 +10,8 @@ plane, zeros first, which is what makes access, counting (rank) and occurrence l
 
 Encoding works on distinct words: the tokenizer's pre-tokenizer cuts at white space, so a
 text's ids are those of its words one after another. A word of letters and closing signs goes to the model
-piece by piece, if that is seen to give the tokenizer's own ids. A bounded memory of words is kept for each Python worker.
+piece by piece, if that is seen to give the tokenizer's own ids. A bounded memory of words is kept for each Python worker, and the words of
+about ``SLICE`` bytes of text are held at a time; longer texts are cut between words.
 
 A null text is empty and has the end id only. Documents of null id come first. Rows of equal
 id are separate documents, in the order of a hash of their text. An empty table gives no file and an
@@ -35,6 +36,7 @@ SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
 WORDS_KEPT = 1_200_000  # a worker's memory, some 200 bytes a word
+SLICE = 1 << 20  # bytes of text whose words are held at a time
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes array<binary>, counts array<binary>"
@@ -43,6 +45,7 @@ SEPARATOR = "\x01"
 # letters that stand for themselves in NFC, and signs that make a piece of their own after them
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
 SIGNS = b".,;:!?"
+BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
 class WaveletMatrix:
@@ -245,6 +248,33 @@ class WordEncoder:
             yield np.frombuffer(b"".join(ids), self.kind)
 
 
+    def encode_slices(self, texts: list[bytes], most: int = SLICE) -> Iterator[np.ndarray]:
+        """Like ``encode``, but holds the words of about ``most`` bytes at a time; a longer text is cut between words."""
+        some: list[bytes] = []
+        held = 0
+        for text in texts:
+            if some and held + len(text) > most:
+                yield from self.encode(some)
+                some, held = [], 0
+            if len(text) <= most:
+                some.append(text)
+                held += len(text)
+            else:
+                yield np.concatenate([x for part in _cut(text, most) for x in self.encode([part])])
+        if some:
+            yield from self.encode(some)
+
+
+def _cut(text: bytes, most: int) -> Iterator[bytes]:
+    """The text in pieces of ``most`` bytes and the rest of the word they end in."""
+    start = 0
+    while start < len(text):
+        blank = BLANK.search(text, start + most)
+        end = blank.start() if blank else len(text)
+        yield text[start:end]
+        start = end
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
@@ -278,7 +308,7 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int, words_kept: int):
             ids, texts = batch.column(0).to_pylist(), batch.column(1)
             for k in range(0, len(ids), 256):
                 some = [(t or "").encode() for t in texts.slice(k, 256).to_pylist()]
-                for d, tokens in zip(ids[k : k + 256], encoder.encode(some)):
+                for d, tokens in zip(ids[k : k + 256], encoder.encode_slices(some)):
                     if held and held + len(tokens) + 1 > shard_tokens:
                         yield close()
                         seq, docs, pieces, held = seq + 1, [], [], 0

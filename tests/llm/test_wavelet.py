@@ -66,6 +66,16 @@ def test_lookup(spark, small, whole):
     assert counts == {t: sum(ids.count(t) for ids in rows.values()) for t in (token, 2)}
 
 
+def test_slices_give_the_ids_of_whole_texts(whole, small):
+    texts = [r.text or "" for r in small.collect()][:60] + ["", " ", "x" * 5000, "one\ttwo\n" * 900, " a" * 3000]
+    encoder = V.WordEncoder(PATH)
+    data = [t.encode() for t in texts]
+    want = [x.tolist() for x in encoder.encode(data)]
+    for most in (1, 7, 1000, 1 << 20):
+        assert [x.tolist() for x in encoder.encode_slices(data, most)] == want
+    assert [w + [2] for w in want] == [list(map(int, whole(t))) for t in texts]
+
+
 def test_hard_rows(hard, whole):
     got = sorted((tuple(r) for r in V.encoded_documents(hard).collect()), key=lambda r: r[1])
     assert [r[0] for r in got] == [None, 1, 1, 2, 3, 4, 6, 7, 8, 9]
