@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from furrow.llm import jaccard, pareto, quality, templates, wavelet
 from furrow.session import configure, written
 
-WORDS_KEPT = 400_000  # of a worker: executors that ran the other stages have less memory to spare
+WORDS_KEPT = 50_000  # of a worker: executors that ran the other stages have less memory to spare
 ORACLE_SQL = None  # tokenizer and components are beyond SQL; tests/llm compares with brute force
 
 
