@@ -2,6 +2,7 @@ import base64
 import gzip
 import hashlib
 import io
+import time
 
 from furrow.llm import warc as W
 
@@ -64,3 +65,28 @@ def test_report_and_empty_table(spark):
     assert W.derivative_report(pages).count() == 2 * pages.count()
     assert W.derivative_report(pages.limit(0)).count() == 0
     assert W.derivative_report(pages.selectExpr("*", "1 as record", "2 as block_digest")).count() == 2 * pages.count()
+
+
+def test_odd_pages():
+    assert W.plain_text("a < b <p>c</p> 1 <2> d <!-- <p> --> e") == "a < b\nc\n1 <2> d e"
+    assert W.plain_text("x <script>a <!-- b</script> y <style> never closed <p>z") == "x y"
+    assert W.plain_text("rest <b never closed") == "rest <b never closed" and W.plain_text("a<!-- open") == "a"
+    assert W.read_page("<a href=\"x>y\">t</a><A HREF=z>u</A><a name=q>v</a><a href='open>w").links == ["x>y", "z"]
+    assert W.plain_text("&#65;&#00065;&#" + "9" * 5000 + ";") == "AA�"
+    assert W.read_page("<title>never closed <title>x").title == "" and W.plain_text("") == ""
+
+
+def test_hostile_pages_take_linear_time():
+    start = time.perf_counter()
+    for piece in ("<a ", "<title>", "<script ", "<!--", "<a href=\"x>", "<html lang", "<a href  ", "</script ", "<", "&#0", "<title></title ", "<style></style "):
+        W.metadata_block(piece * (1_000_000 // len(piece)))
+    assert time.perf_counter() - start < 20
+
+
+def test_index_is_read_from_files(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    named = ["page_id", "warc_type", "record_id", "refers_to", "block_digest", "source_digest", "content_length"]
+    records = W.derivative_records(pages).selectExpr(*named, "crc32(record) as record_crc32", "if(warc_type = 'metadata', n_links, null) as n_links").collect()
+    index = W.derivative_report(pages, file_bytes=20_000)
+    assert sorted(map(str, index.select(*named, "record_crc32", "n_links").collect())) == sorted(map(str, records))
+    assert index.select("file", "first_byte").distinct().count() == len(records)
