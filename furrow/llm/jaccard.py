@@ -21,10 +21,10 @@ pairs that look linked, the first on one shingle a class; the last round checks
 pair of different components that passes the bounds, so that no link is lost. In it,
 the inside of a component, however many copies it has, costs nothing.
 
-Nulls and empty texts have no shingles and link with nothing. Repeated rows are copies of each other. Ids
-are taken to be unique otherwise: rows of one id and different texts each go with their own text. A null id
-comes before all others, so a component with one has a null ``component_id``. An empty table gives an
-empty result. Other columns are not looked at.
+Nulls and empty texts have no shingles and link with nothing. Rows are told apart by their place, not by ``doc_id``:
+where an id is null or repeated, each of its rows gets a key of its own, so that rows of one id link only
+by their texts. A null id comes after all others: a component is named by null only if none of its rows has an id. An
+empty table gives an empty result. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ SAMPLE = 4000  # documents whose shingles set the order
 SAMPLE_SEEN = 8  # a shingle of so many of them is put last
 SAMPLE_KEPT = 1 << 16
 BROADCAST_IDS = 1_000_000  # rows of ids sent to every task, some 40 MB
-NO_ID = -(2**63)
+KEY = "__near_key"
 SET_SCHEMA = "id long, n long, digest binary, prefix array<long>, bits binary"
 
 
@@ -386,22 +386,61 @@ def _without_ids(rows: DataFrame, others: DataFrame, keys: list[str]) -> DataFra
     return rows.join(F.broadcast(others) if few else others, keys, "left_anti")
 
 
+def _keyed(docs: DataFrame) -> tuple[DataFrame, bool]:
+    """``docs`` with a ``KEY`` of each row, and whether it differs from ``doc_id`` anywhere.
+
+    Rows whose id is null or repeated are written once with numbers below all ids, which stay the same from then on.
+    """
+    own = F.col("doc_id").cast("long")
+    ids = docs.select(own.alias("id"))
+    again = written(ids.groupBy("id").count().where("id is null or count > 1").select(F.col("id").alias("__near_id")), "near-repeated")
+    if again.isEmpty():
+        return docs.withColumn(KEY, own), False
+    low = min(0, ids.agg(F.min("id")).first()[0] or 0)
+    every = low < -(1 << 62)  # no room for numbers below: all rows are numbered
+    few = again.count() <= BROADCAST_IDS
+    other = F.broadcast(again) if few else again
+    same = own.eqNullSafe(F.col("__near_id"))
+    repeated = docs if every else docs.join(other, same, "left_semi")
+    numbered = written(repeated.withColumn(KEY, F.lit(0 if every else low - 1) - F.monotonically_increasing_id()), "near-numbered")
+    if every:
+        return numbered, True
+    return docs.join(other, same, "left_anti").withColumn(KEY, own).unionByName(numbered), True
+
+
 def near_classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
     """Per row of ``docs``: ``doc_id``, ``n_shingles`` and ``component_id``.
 
     Two documents link when the shingles they share are at least ``percent`` of those of either.
     """
+    keyed, differs = _keyed(docs)
+    found = _key_classes(keyed, percent, size)
+    if not differs:
+        return found.select(F.col("id").alias("doc_id"), "n_shingles", F.col("own").alias("component_id"))
+    return _named(keyed, found).select("doc_id", "n_shingles", "component_id")
+
+
+def _named(keyed: DataFrame, found: DataFrame) -> DataFrame:
+    """``found`` with the ``doc_id`` of its rows, the least of each component and the key of a row that has it."""
+    ids = keyed.select(F.col(KEY).alias("id"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = written(found.join(ids, "id"), "near-named")
+    # a struct of least values puts nulls first, hence the flag
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "id")).alias("least")
+    heads = rows.groupBy("own").agg(least).select("own", F.col("least.doc_id").alias("component_id"), F.col("least.id").alias("head"))
+    return rows.join(heads, "own")
+
+
+def _key_classes(keyed: DataFrame, percent: int, size: int) -> DataFrame:
+    """Per row: its key ``id``, ``n_shingles`` and ``own``, the least key of its component."""
     if not 0 < percent <= 100:
         raise ValueError("percent must be above 0 and at most 100")
-    texts = docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    texts = keyed.select(F.col(KEY).alias("id"), F.coalesce("text", F.lit("")).alias("text"))
     last = frequent_shingles(texts, size)
     rows = written(texts.mapInArrow(_summaries(percent, size, last), SET_SCHEMA), "near-rows")
     full = rows.where("n > 0")
     classes = written(full.groupBy("digest").agg(F.min("id").alias("rep")), "near-classes")
     copies = full.select("id", "digest").join(classes, "digest").where("id <> rep").select("id", "digest")
     heads = _without_ids(full, written(copies, "near-copies"), ["id", "digest"])
-    if not rows.groupBy("id").count().where("count > 1").isEmpty():
-        heads = heads.dropDuplicates(["id", "digest"])
     postings = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
     shared = written(postings.join(counts, "token").select("token", "id", "n", "pos"), "near-shared")
@@ -423,17 +462,14 @@ def near_classes(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame
     shown = named.withColumn("own", F.coalesce("rep", "id"))
     if comps is not None:
         shown = shown.join(comps.select(F.col("id").alias("own"), "comp"), "own", "left").withColumn("own", F.coalesce("comp", "own"))
-    hidden = lambda c: F.when(F.col(c) != NO_ID, F.col(c))
-    return shown.select(hidden("id").alias("doc_id"), F.col("n").alias("n_shingles"), hidden("own").alias("component_id"))
+    return shown.select("id", F.col("n").alias("n_shingles"), "own")
 
 
 def first_of_each_class(docs: DataFrame, percent: int = 80, size: int = 5) -> DataFrame:
-    """``docs`` with one document of each component, that of the least id; a repeated row stays once."""
-    classes = written(near_classes(docs, percent, size), "near-found")
-    others = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__other")).distinct()
-    others = written(others, "near-others")
-    few = others.count() <= BROADCAST_IDS
-    kept = docs.join(F.broadcast(others) if few else others, F.col("doc_id").eqNullSafe(F.col("__other")), "left_anti")
-    if classes.groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.dropDuplicates(["doc_id", "text"])
+    """``docs`` with one row of each component, that of the least id; of rows with this id, any one."""
+    keyed, differs = _keyed(docs)
+    found = _key_classes(keyed, percent, size)
+    if differs:
+        found = _named(keyed, found).select("id", F.col("head").alias("own"))
+    others = written(found.where("id <> own").select(F.col("id").alias(KEY)), "near-others")
+    return _without_ids(keyed, others, [KEY]).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -18,7 +18,11 @@ def shingles(text, size=5):
 
 
 def brute(rows, percent=80):
-    """(doc_id, n_shingles, component_id) of rows of unique ids, from all pairs that share a shingle."""
+    """(doc_id, n_shingles, component_id), sorted, from all pairs of rows that share a shingle."""
+    return sorted(_by_row(rows, percent))
+
+
+def _by_row(rows, percent=80):
     sets = [shingles(t) for _, t in rows]
     parent = list(range(len(rows)))
 
@@ -44,7 +48,7 @@ def brute(rows, percent=80):
     least = {}
     for i, (d, _) in enumerate(rows):
         least[find(i)] = min(least.get(find(i), d), d)
-    return sorted((d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets)))
+    return [(d, len(s), least[find(i)]) for i, ((d, _), s) in enumerate(zip(rows, sets))]
 
 
 def ours(docs, percent=80):
@@ -119,3 +123,30 @@ def test_no_rows(none):
 def test_threshold_is_checked(small):
     with pytest.raises(ValueError):
         J.near_classes(small, 0)
+
+
+@pytest.mark.parametrize("low", [-3, -(2**63)])
+def test_rows_of_one_id_link_by_their_texts(spark, low):
+    """Null and repeated ids: neighbours of unrelated texts stay apart, and one row of each component stays."""
+    a, b, c, d = (" ".join(f"{x}{i}" for i in range(60)) for x in "abcd")
+    near = lambda t: t + " end"
+    rows = [(5, a), (5, b), (11, near(a)), (12, near(b)), (None, c), (None, d), (None, near(d)), (7, near(c)), (5, ""), (5, None), (low, a + " more"), (9, "x y")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    key = lambda x: 2**63 if x is None else x
+    want = [(d, n, None if x == 2**63 else x) for (d, _), (_, n, x) in zip(rows, _by_row([(key(i), t) for i, t in rows]))]
+    got = [tuple(r) for r in J.near_classes(docs).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert {x for _, _, x in got} == {5, 7, 9, None, low}
+    kept = sorted(((r.doc_id, r.text) for r in J.first_of_each_class(docs).collect()), key=str)
+    left = [(5, b), (5, ""), (5, None), (7, near(c)), (low, a + " more"), (9, "x y")]
+    assert [x for x in kept if x[0] is not None] == sorted(left, key=str)
+    assert [x for x in kept if x[0] is None] in ([(None, d)], [(None, near(d))])
+
+
+def test_many_rows_of_one_id(spark):
+    """A third of the rows have no id: each is one row, and copies among them are one component."""
+    rows = [(i if i % 3 else None, " ".join(f"w{i // 2}x{k}" for k in range(20))) for i in range(600)]
+    got = [tuple(r) for r in J.near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()]
+    keyed = [(2**63 if i is None else i, t) for i, t in rows]
+    want = [(None if i == 2**63 else i, n, None if x == 2**63 else x) for (i, _), (_, n, x) in zip(keyed, _by_row(keyed))]
+    assert sorted(got, key=str) == sorted(want, key=str)
