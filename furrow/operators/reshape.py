@@ -59,18 +59,27 @@ def feature_wide(
 def nest_group(
     df: DataFrame, keys: Sequence[str], name: str = "data", max_rows: int = NEST_ROWS
 ) -> DataFrame:
-    """Rows of a group as arrays of structs, numbered by ``part``.
+    """Rows of a group as sorted arrays of structs, numbered by ``part``.
 
     A group has one part for each ``max_rows`` rows it begins, so no array grows with
-    the largest group. Rows are dealt to parts in turn, whatever their values.
+    the largest group. The part of a row follows from its values, so a rerun or a retried task deals the
+    same, however the rows are partitioned. Equal rows are counted first and dealt in runs of ``max_rows`` over the parts.
+    Columns must be sortable (no maps).
     """
     rest = [c for c in df.columns if c not in keys]
     sizes = df.groupBy(*keys).agg(F.ceil(F.count(F.lit(1)) / max_rows).alias("__parts"))
-    return (
-        attach(df, sizes, keys)
-        .withColumn("part", F.pmod(F.monotonically_increasing_id(), F.col("__parts")).cast("int"))
-        .groupBy(*keys, "part")
-        .agg(F.collect_list(F.struct(*rest)).alias(name))
+    counted = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__many"))
+    first = F.pmod(F.xxhash64(*rest) if rest else F.lit(0), F.col("__parts"))
+    runs = F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("__many") - 1) / max_rows))).alias("__run")
+    dealt = attach(counted, sizes, keys).select(*counted.columns, "__parts", runs).select(
+        *keys,
+        F.pmod(first + F.col("__run"), F.col("__parts")).cast("int").alias("part"),
+        F.struct(*rest).alias("__row"),
+        F.least(F.col("__many") - F.col("__run") * max_rows, F.lit(max_rows)).cast("int").alias("__copies"),
+    )
+    rows = F.array_sort(F.collect_list(F.struct("__row", "__copies")))
+    return dealt.groupBy(*keys, "part").agg(
+        F.flatten(F.transform(rows, lambda x: F.array_repeat(x["__row"], x["__copies"]))).alias(name)
     )
 
 

@@ -41,22 +41,20 @@ def _(spark, d):
     return round_doubles(g.select("departement", "rows", F.posexplode("m").alias("cell", "value")), 4)
 
 
-WIDE_NAMES = [f"{v}_{m}" for v in ("Tn", "PR") for m in range(1, 11)]
+WIDE_NAMES = [f"{v}_{m}" for v in ("Tn", "PR") for m in range(1, 13)]
 
 
-@query("m0_gram_many_features", f"""WITH {PANEL}, base AS (SELECT departement, year FROM mp WHERE month <= 10 GROUP BY ALL HAVING count(*) = 10),
-long AS (SELECT departement, year, m.month AS i, tn AS v FROM mp m JOIN base USING (departement, year) WHERE month <= 10
- UNION ALL SELECT departement, year, month + 10, pr FROM mp JOIN base USING (departement, year) WHERE month <= 10
+@query("m0_gram_many_features", f"""WITH {PANEL}, base AS (SELECT departement, year, avg(log_yield) AS ly FROM mp GROUP BY ALL HAVING count(*) = 12),
+long AS (SELECT departement, year, m.month AS i, tn AS v FROM mp m JOIN base USING (departement, year)
+ UNION ALL SELECT departement, year, month + 12, pr FROM mp JOIN base USING (departement, year)
  UNION ALL SELECT departement, year, 0, 1.0 FROM base
- UNION ALL SELECT departement, year, 21, log_yield FROM mp JOIN base USING (departement, year) WHERE month = 6)
-SELECT a.year, CAST(a.i * 22 - a.i * (a.i - 1) // 2 + b.i - a.i AS INTEGER) AS cell, {r('sum(a.v * b.v)', 'value', 4)} FROM long a JOIN long b ON a.departement = b.departement AND a.year = b.year AND a.i <= b.i GROUP BY ALL""")
+ UNION ALL SELECT departement, year, 25, ly FROM base)
+SELECT a.year, CAST(a.i * 26 - a.i * (a.i - 1) // 2 + b.i - a.i AS INTEGER) AS cell, {r('sum(a.v * b.v)', 'value', 4)} FROM long a JOIN long b ON a.departement = b.departement AND a.year = b.year AND a.i <= b.i GROUP BY ALL""")
 def _(spark, d):
-    panel = month_panel(spark, d).where("month <= 10")
-    wide = panel.groupBy("departement", "year").pivot("month", list(range(1, 11))).agg(
-        F.first("Tn").alias("Tn"), F.first("PR").alias("PR"), F.first("log_yield").alias("ly")
-    )
-    names = [f"{m}_{v}" for v in ("Tn", "PR") for m in range(1, 11)]
-    g = gram(wide, ["year"], names, "6_ly")
+    panel = month_panel(spark, d)
+    cell = lambda v, m: F.max(F.when(F.col("month") == m, F.col(v))).alias(f"{v}_{m}")
+    wide = panel.groupBy("departement", "year").agg(F.avg("log_yield").alias("ly"), *[cell(v, m) for v in ("Tn", "PR") for m in range(1, 13)])
+    g = gram(wide, ["year"], WIDE_NAMES, "ly")
     return round_doubles(g.select("year", F.posexplode("m").alias("cell", "value")), 4)
 
 
@@ -540,17 +538,17 @@ def _(spark, d):
 
 SCENARIO = REBASE + """,
 nm AS (SELECT *, (value - avg(CASE WHEN type = 'OBS' THEN value END) OVER w) / stddev_samp(CASE WHEN type = 'OBS' THEN value END) OVER w AS z
-  FROM sc WHERE clim_var IN ('Tn', 'PR') WINDOW w AS (PARTITION BY clim_var)),
-fw AS (SELECT departement, month, year_cal AS year, type, max(CASE WHEN clim_var = 'Tn' THEN z END) AS tn, max(CASE WHEN clim_var = 'PR' THEN z END) AS pr FROM nm GROUP BY ALL),
+  FROM sc WINDOW w AS (PARTITION BY clim_var)),
+fw AS (SELECT departement, month, year_cal AS year, type, max(CASE WHEN clim_var = 'Tn' THEN z END) AS tn, max(CASE WHEN clim_var = 'Tx' THEN z END) AS tx,
+  max(CASE WHEN clim_var = 'PR' THEN z END) AS pr, max(CASE WHEN clim_var = 'ETP' THEN z END) AS etp FROM nm GROUP BY ALL),
 oc AS (SELECT n_name AS departement, y AS year, mth AS month, sum(l_extendedprice) / sum(l_quantity) AS yield, sum(l_quantity) AS area FROM by_nation GROUP BY ALL),
-fy AS (SELECT fw.*, yield, area, ln(yield) AS ly, CASE WHEN type = 'OBS' THEN 1.0 ELSE 0.0 END AS w FROM fw JOIN oc USING (departement, year, month) WHERE tn IS NOT NULL AND pr IS NOT NULL),
-""" + ols_sql("k", "fy", "departement", ["tn", "pr"], "ly", "w")
+fy AS (SELECT fw.*, yield, area, ln(yield) AS ly, CASE WHEN type = 'OBS' THEN 1.0 ELSE 0.0 END AS w FROM fw JOIN oc USING (departement, year, month) WHERE tn IS NOT NULL AND tx IS NOT NULL AND pr IS NOT NULL AND etp IS NOT NULL),
+""" + ols_sql("k", "fy", "departement", ["tn", "tx", "pr", "etp"], "ly", "w")
 
 
 def scenario_predictions(spark, d, models=("ols",)):
-    variables = ["Tn", "PR"]
-    long = scenarios(spark, d).where(F.col("clim_var").isin(variables))
-    normal = normalise_by_reference(long, ["clim_var"]).withColumnRenamed("year_cal", "year")
+    variables = ["Tn", "Tx", "PR", "ETP"]
+    normal = normalise_by_reference(scenarios(spark, d), ["clim_var"]).withColumnRenamed("year_cal", "year")
     wide = to_wide(normal, [*ROW, "type"], "clim_var", "value_norm", variables)
     outcome = month_panel(spark, d).select(*ROW, "yield", "area", "log_yield")
     rows = wide.join(outcome, ROW)
@@ -562,13 +560,18 @@ def _(spark, d):
     return round_doubles(scenario_predictions(spark, d).select(*ROW, "type", "model", "pred"))
 
 
+MIXED = {"Tn": {"type": "y1997"}, "Tx": {"type": "y1997"}, "PR": {"type": "OBS"}, "ETP": {"type": "OBS"}}
+
+
 @query("m20_mix_scenarios", f"""WITH {REBASE}
 SELECT departement, month, year_cal, {r("max(CASE WHEN clim_var = 'Tn' AND type = 'y1997' THEN value END)", '"Tn"')},
- {r("max(CASE WHEN clim_var = 'PR' AND type = 'OBS' THEN value END)", '"PR"')}, 'Tn97' AS type FROM sc GROUP BY departement, month, year_cal""")
+ {r("max(CASE WHEN clim_var = 'Tx' AND type = 'y1997' THEN value END)", '"Tx"')},
+ {r("max(CASE WHEN clim_var = 'PR' AND type = 'OBS' THEN value END)", '"PR"')},
+ {r("max(CASE WHEN clim_var = 'ETP' AND type = 'OBS' THEN value END)", '"ETP"')}, 'T97' AS type FROM sc GROUP BY departement, month, year_cal""")
 def _(spark, d):
     return round_doubles(
         V.mix_scenarios(
-            scenarios(spark, d), ["departement", "month", "year_cal"], {"Tn": {"type": "y1997"}, "PR": {"type": "OBS"}}, label="Tn97"
+            scenarios(spark, d), ["departement", "month", "year_cal"], MIXED, label="T97"
         )
     )
 
@@ -604,13 +607,17 @@ def _(spark, d):
     )
 
 
+GROUPS = [f"NATION_{i}" for i in range(25)]
+ONE_HOT = ", ".join(f"CAST(departement = '{g}' AS INTEGER)::DOUBLE AS x{i}" for i, g in enumerate(GROUPS, 5))
+
+
 @query("m24_design_matrix", f"""WITH {PANEL}
-SELECT departement, year, month, {r('log_yield', 'label')}, {r('(year - avg(year) OVER ()) / stddev_samp(year) OVER ()', 'x0')}, {r('tn', 'x1')}, {r('pr', 'x2')},
- CAST(departement = 'NATION_1' AS INTEGER)::DOUBLE AS x3, CAST(departement = 'NATION_2' AS INTEGER)::DOUBLE AS x4 FROM mp""")
+SELECT departement, year, month, {r('log_yield', 'label')}, {r('(year - avg(year) OVER ()) / stddev_samp(year) OVER ()', 'x0')}, {r('tn', 'x1')}, {r('tx', 'x2')}, {r('pr', 'x3')}, {r('etp', 'x4')},
+ {ONE_HOT} FROM mp""")
 def _(spark, d):
-    m = forest.design_matrix(month_panel(spark, d), ["Tn", "PR"], "yield", one_hot_col="departement", values=["NATION_1", "NATION_2"])
+    m = forest.design_matrix(month_panel(spark, d), ["Tn", "Tx", "PR", "ETP"], "yield", one_hot_col="departement", values=GROUPS)
     x = vector_to_array("x")
-    return round_doubles(m.select(*ROW, "label", *[x[i].alias(f"x{i}") for i in range(5)]))
+    return round_doubles(m.select(*ROW, "label", *[x[i].alias(f"x{i}") for i in range(5 + len(GROUPS))]))
 
 
 SIM = "(1800 + 10 * pr - 12 * tn)"

@@ -163,7 +163,8 @@ CROP_NAME_CASE = "CASE sp " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CROP
 JOINED = SEASON + f""",
 sm AS (SELECT departement, sp, year_harvest, clim_var, avg(value) AS value FROM sea GROUP BY ALL),
 sw AS (SELECT upper(replace(departement, '_', '-')) AS departement, {CROP_NAME_CASE} AS sp, year_harvest,
-  max(CASE WHEN clim_var = 'Tn' THEN value END) AS tn, max(CASE WHEN clim_var = 'PR' THEN value END) AS pr FROM sm GROUP BY ALL),
+  max(CASE WHEN clim_var = 'Tn' THEN value END) AS tn, max(CASE WHEN clim_var = 'Tx' THEN value END) AS tx,
+  max(CASE WHEN clim_var = 'PR' THEN value END) AS pr, max(CASE WHEN clim_var = 'ETP' THEN value END) AS etp FROM sm GROUP BY ALL),
 yy AS (SELECT replace(department, '_', '-') AS departement, {CROP_CASE} AS sp, year AS year_harvest, yield
   FROM (SELECT n_name AS department, p_type AS sp, y AS year, sum(l_extendedprice) / sum(l_quantity) AS yield
         FROM (SELECT b.*, p_type FROM by_nation b JOIN part ON l_partkey = p_partkey) GROUP BY ALL))"""
@@ -172,7 +173,7 @@ yy AS (SELECT replace(department, '_', '-') AS departement, {CROP_CASE} AS sp, y
 def season_with_yield(spark, d):
     seasons = expand_seasons(weather_long(spark, d), drop_before=(1995, 8))
     keys = ["departement", "sp", "year_harvest"]
-    wide = to_wide(season_mean(seasons, [*keys, "clim_var"], "value"), keys, "clim_var", "value", ["Tn", "PR"])
+    wide = to_wide(season_mean(seasons, [*keys, "clim_var"], "value"), keys, "clim_var", "value", ["Tn", "Tx", "PR", "ETP"])
     y = yield_panel(spark, d).select(
         F.col("department").alias("departement"), recode("sp", CROP_OF_TYPE).alias("sp"), F.col("year").alias("year_harvest"), "yield"
     )
@@ -180,17 +181,18 @@ def season_with_yield(spark, d):
 
 
 @query("t13_join_panel", f"""WITH {JOINED}
-SELECT departement, sp, year_harvest, {r('tn', 'Tn')}, {r('pr', 'PR')}, {r('yield', 'yield')}
+SELECT departement, sp, year_harvest, {r('tn', 'Tn')}, {r('tx', 'Tx')}, {r('pr', 'PR')}, {r('etp', 'ETP')}, {r('yield', 'yield')}
 FROM (SELECT * FROM sw WHERE departement <> 'NATION-7') FULL JOIN yy USING (departement, sp, year_harvest)""")
 def _(spark, d):
     return round_doubles(season_with_yield(spark, d))
 
 
-@query("t14_check_identity", f"""WITH {MONTHLY}, {poly_sql('ms', 'department, sp', 'x', 'value')}
-SELECT department, count(*) AS n, {r('sum(value)', 'total', 4)}, true AS closed FROM pf GROUP BY department""")
+@query("t14_check_identity", f"""WITH RECURSIVE {MONTHLY}, {poly_sql('ms', 'department, sp', 'x', 'value')}, {loess_sql('ms', 'department, sp', 'x', 'value')},
+fi AS (SELECT department, 'lin' AS method, value, f1 AS fitted, value - f1 AS resid FROM pf UNION ALL SELECT department, 'loess', y, fitted, y - fitted FROM lo)
+SELECT department, method, count(*) AS n, {r('sum(value)', 'total', 4)}, max(abs(value - (fitted + resid))) < 1e-9 AS closed FROM fi GROUP BY department, method""")
 def _(spark, d):
-    trends = SC.detrend(monthly_series(spark, d), SERIES, "x", "value", ["lin"])
+    trends = SC.detrend(monthly_series(spark, d), SERIES, "x", "value", ["lin", "loess"])
     # the total is that of the parts, the check takes it from the values
-    sums = trends.groupBy("department").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fitted") + F.col("resid")).alias("total"))
-    gaps = check_identity(trends, ["department"], "value", ["fitted", "resid"])
-    return sums.join(gaps, "department").select("department", "n", rounded("total", 4).alias("total"), (F.col("max_gap") < 1e-9).alias("closed"))
+    sums = trends.groupBy("department", "method").agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("fitted") + F.col("resid")).alias("total"))
+    gaps = check_identity(trends, ["department", "method"], "value", ["fitted", "resid"])
+    return sums.join(gaps, ["department", "method"]).select("department", "method", "n", rounded("total", 4).alias("total"), (F.col("max_gap") < 1e-9).alias("closed"))

@@ -270,3 +270,17 @@ def test_hot_group_is_split_when_values_are_joined_back(spark):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_nesting_does_not_depend_on_partitions(spark):
+    from furrow.operators.reshape import nest_group, unnest_group
+
+    rows = [("a" if i % 4 else None, i % 50, None if i % 7 == 0 else f"v{i % 90}") for i in range(3000)] + [("c", 1, "same")] * 700
+    df = spark.createDataFrame(rows, "k string, x int, v string")
+    parts = lambda d: sorted(map(str, nest_group(d, ["k"], max_rows=100).collect()))
+    nested = parts(df.repartition(7, "x"))
+    assert nested == parts(df.orderBy(F.rand(1))) == parts(df.coalesce(1))
+    back = unnest_group(nest_group(df, ["k"], max_rows=100))
+    assert sorted(map(str, back.select("k", "x", "v").collect())) == sorted(map(str, df.collect()))
+    same = nest_group(df, ["k"], max_rows=100).where("k = 'c'").select(F.size("data").alias("n")).collect()
+    assert [r.n for r in same] == [100] * 7
