@@ -80,6 +80,13 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def removed(spark: SparkSession, table: DataFrame) -> None:
+    """Delete a table made by ``written`` that nothing reads any more."""
+    for name in {f.rsplit("/", 1)[0] for f in table.inputFiles()}:
+        place = spark._jvm.org.apache.hadoop.fs.Path(name)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path below the shared folder; it is deleted when the application ends."""
     path = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -91,7 +98,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str, by: list[str] | None = None) -> DataFrame:
     """Write to the shared folder as Parquet and read it again: a restart point for what follows."""
     path = scratch_path(df.sparkSession, name)
-    df.write.partitionBy(*(by or [])).parquet(path)
+    df.write.option("compression", "zstd").partitionBy(*(by or [])).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
