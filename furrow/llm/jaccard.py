@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from furrow.llm.shingles import shingle_sets, text_slices
-from furrow.session import written
+from furrow.session import removed, written
 
 TILE = 1024  # classes in a block
 SAMPLE = 4000  # documents whose shingles set the order
@@ -444,7 +444,10 @@ def _key_classes(keyed: DataFrame, percent: int, size: int) -> DataFrame:
     postings = heads.select("id", "n", F.posexplode("prefix").alias("pos", "token"))
     counts = postings.groupBy("token").agg(F.count(F.lit(1)).alias("many")).where("many > 1").select("token")
     shared = written(postings.join(counts, "token").select("token", "id", "n", "pos"), "near-shared")
-    bits = heads.select("id", "bits")
+    # the prefixes, most of the table, are not needed from here on
+    bits = written(heads.select("id", "bits"), "near-bits")
+    named = written(rows.select("id", "n", "digest").join(classes, "digest", "left").select("id", "n", "rep"), "near-ids")
+    removed(keyed.sparkSession, rows)
     first = shared.groupBy("id").agg(F.min(F.struct("pos", "token", "n")).alias("x")).select("id", "x.token", "x.n", "x.pos")
     comps, checked = None, None
     for step in (first, shared, None):
@@ -458,7 +461,6 @@ def _key_classes(keyed: DataFrame, percent: int, size: int) -> DataFrame:
         checked = pairs if checked is None else checked.unionByName(pairs)
         if not links.isEmpty():
             comps = _merged(comps, links)
-    named = rows.select("id", "n", "digest").join(classes, "digest", "left")
     shown = named.withColumn("own", F.coalesce("rep", "id"))
     if comps is not None:
         shown = shown.join(comps.select(F.col("id").alias("own"), "comp"), "own", "left").withColumn("own", F.coalesce("comp", "own"))
