@@ -99,7 +99,7 @@ def summary_stats(df: DataFrame, cols: Sequence[str], approx: bool = False) -> D
         F.count_if(F.col("__v").isNull()).alias("missing"),
     )
     quart = group_quantiles(
-        long, ["variable"], "__v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], approx
+        long, ["variable"], "__v", [0.25, 0.5, 0.75], ["q1", "median", "q3"], approx, few=True
     ).drop("n")
     return null_safe_join(base, quart, ["variable"], "left").select(
         "variable", "min", "q1", "median", "mean", "q3", "max", "missing"

@@ -27,8 +27,13 @@ def group_quantiles(
     probs: Sequence[float],
     names: Sequence[str],
     approx: bool = False,
+    few: bool = False,
 ) -> DataFrame:
-    """One row per group: the named quantiles of ``col`` and ``n`` non-null values."""
+    """One row per group: the named quantiles of ``col`` and ``n`` non-null values.
+
+    ``few`` says that the number of groups does not depend on the rows. Their bounds are then
+    broadcast, and no row is moved to the few tasks that the groups would hash to.
+    """
     keys = list(keys)
     present = df.select(*keys, F.col(col).cast("double").alias("__v")).where(
         F.col("__v").isNotNull()
@@ -46,6 +51,7 @@ def group_quantiles(
         F.min("__v").alias("__lo"),
         F.max("__v").alias("__hi"),
     )
+    placed = F.broadcast if few and keys else lambda t: t
     slices = []
     for i, p in enumerate(probs):
         # of a few values the next ranks lie further off than the step: there the slice is the group
@@ -60,13 +66,13 @@ def group_quantiles(
         parts, lambda s: F.struct(s["__i"].alias("__i"), F.when(F.col("__v") >= s["__from"], F.col("__v")).alias("__x"))
     )
     counted = (
-        attach(present, per_slice, keys)
+        attach(present, placed(per_slice), keys)
         .select(*keys, F.inline(cut))
         .groupBy(*keys, "__i", "__x")
         .agg(F.count(F.lit(1)).alias("__c"))
     )
     order = Window.partitionBy(*keys, "__i").orderBy(F.col("__x").asc_nulls_first())
-    ranked = attach(counted, bounds.select(*keys, "n"), keys).withColumn(
+    ranked = attach(counted, placed(bounds.select(*keys, "n")), keys).withColumn(
         "__end", F.sum("__c").over(order.rowsBetween(Window.unboundedPreceding, 0))
     )
 

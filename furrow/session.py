@@ -12,12 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Runtime settings every plan in this library relies on: AQE picks broadcast or
 # sort-merge from measured shuffle sizes and splits hot partitions of joins,
-# even where the split costs one more exchange further down.
+# even where the split costs one more exchange further down. A small table is broadcast
+# even if it fills few partitions: else the rows of a few groups are sorted in as few tasks.
 SQL_SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    "spark.sql.adaptive.nonEmptyPartitionRatioForBroadcastJoin": "0",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
 

@@ -1,5 +1,7 @@
 """Nulls, ties, hot groups, empty inputs."""
 
+import re
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -16,6 +18,7 @@ from furrow.operators.scenario import normalise_by_reference, rebase_after, scen
 from furrow.operators.seasons import SEASONS, expand_seasons, join_panel
 from furrow.operators.trend import anomalies, poly_trend, polynomial_trends
 from furrow.operators.validate import FOUR_FOLDS, block_folds, cv_split, mix_scenarios
+from furrow.session import configure
 from furrow.sources import delimited as IO
 
 
@@ -284,3 +287,31 @@ def test_nesting_does_not_depend_on_partitions(spark):
     assert sorted(map(str, back.select("k", "x", "v").collect())) == sorted(map(str, df.collect()))
     same = nest_group(df, ["k"], max_rows=100).where("k = 'c'").select(F.size("data").alias("n")).collect()
     assert [r.n for r in same] == [100] * 7
+
+
+def _joins_run(df):
+    df.collect()
+    return re.findall(r"(\w+Join)(?:\(skew=true\))?\b", str(df._jdf.queryExecution().executedPlan()).split("Initial Plan")[0])
+
+
+def test_rows_of_a_few_groups_are_not_sorted_to_be_joined(spark, skewed):
+    configure(spark)
+    wide = skewed.withColumn("w", F.col("v") * 2)
+    # far more partitions than groups, and rows that are not known to be few before they are read
+    changed = {"spark.sql.shuffle.partitions": "40", "spark.sql.autoBroadcastJoinThreshold": "8k"}
+    before = {c: spark.conf.get(c) for c in changed}
+    try:
+        for c, v in changed.items():
+            spark.conf.set(c, v)
+        summary, boxes = A.summary_stats(wide, ["v", "w"]), A.boxplot_stats(wide, ["k"], "v")
+        assert "BroadcastHashJoin" in summary._jdf.queryExecution().executedPlan().toString()  # before any row is moved
+        got = {r["variable"]: r for r in summary.collect()}
+        for df in (summary, boxes):
+            joins = _joins_run(df)
+            assert joins and "SortMergeJoin" not in joins
+    finally:
+        for c, v in before.items():
+            spark.conf.set(c, v)
+    pdf = wide.toPandas()
+    for c in ("v", "w"):
+        np.testing.assert_allclose([got[c][q] for q in ("q1", "median", "q3")], np.quantile(pdf[c], [0.25, 0.5, 0.75]))
