@@ -9,9 +9,10 @@ plane, zeros first, which is what makes access, counting (rank) and occurrence l
 (select) possible without unpacking the sequence.
 
 Encoding works on distinct words: the tokenizer's pre-tokenizer cuts at white space, so a
-text's ids are those of its words one after another. A word of letters and closing signs goes to the model
-piece by piece, if that is seen to give the tokenizer's own ids. A bounded memory of words is kept for each Python worker, and the words of
-about ``SLICE`` bytes of text are held at a time; longer texts are cut between words.
+text's ids are those of its words one after another. Arrow finds the distinct words of about ``SLICE`` bytes of
+text, each is looked up once, and Arrow puts their ids in the places of the words. A word of letters and closing signs goes to the model
+piece by piece, if that is seen to give the tokenizer's own ids. A bounded memory of words is kept for each Python worker; texts
+longer than a slice are cut between words.
 
 A null text is empty and has the end id only. Documents of null id come first. Rows of equal
 id are separate documents, in the order of a hash of their text. An empty table gives no file and an
@@ -23,10 +24,11 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -36,7 +38,7 @@ SHARD_TOKENS = 1 << 22
 END_ID = 2
 COUNT_EVERY = 2048  # bits between two running counts
 WORDS_KEPT = 1_200_000  # a worker's memory, some 200 bytes a word
-SLICE = 1 << 20  # bytes of text whose words are held at a time
+SLICE = 1 << 22  # bytes of text whose words are held at a time
 SHARD_SCHEMA = (
     "part int, seq int, n_tokens long, doc_ids array<long>, lengths array<long>, "
     "zeros array<long>, planes array<binary>, counts array<binary>"
@@ -44,7 +46,7 @@ SHARD_SCHEMA = (
 SEPARATOR = "\x01"
 # letters that stand for themselves in NFC, and signs that make a piece of their own after them
 PLAIN = re.compile("[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
-SIGNS = b".,;:!?"
+SIGNS = b".,;:!?#*$%&"
 BLANK = re.compile(rb"[ \t\n\r\x0b\x0c]")
 
 
@@ -59,12 +61,14 @@ class WaveletMatrix:
         planes, zeros, counts = [], [], []
         x = tokens
         for k in range(bits - 1, -1, -1):
-            ones = ((x >> x.dtype.type(k)) & x.dtype.type(1)).astype(bool)
+            ones = (x & x.dtype.type(1 << k)).astype(bool)
             planes.append(np.packbits(ones, bitorder="little"))
             counts.append(_running(planes[-1]))
-            low = x[~ones]
-            zeros.append(len(low))
-            x = np.concatenate([low, x[ones]])
+            zeros.append(len(x) - int(np.count_nonzero(ones)))
+            down = np.empty_like(x)
+            np.compress(~ones, x, out=down[: zeros[-1]])
+            np.compress(ones, x, out=down[zeros[-1] :])
+            x = down
         return cls(len(tokens), planes, zeros, counts)
 
     def tokens(self) -> np.ndarray:
@@ -183,27 +187,34 @@ class WordEncoder:
         letters = [chr(c) for c in range(0x41, 0x100) if PLAIN.fullmatch(chr(c))]
         probes = [a + b for a, b in zip(letters, letters[7:] + letters[:7])]
         probes += ["".join(letters[k : k + 9]) + m for k in range(0, len(letters), 5) for m in (".", ",", ";", ":", "!!", "?!", "...")]
+        signs = SIGNS.decode()
+        probes += [letters[k % len(letters)] + a + b for k, a in enumerate(signs) for b in ["", *signs, ".***"]]
         probes += ["The", "isn", "s", "ll,", "ve", "DON.", "Straße", "für,", "ÉÉÉ!", "naïvement;"]
         try:
             return all(self._of_pieces(w.encode()) == np.array(self._encoded(w), self.kind).tobytes() for w in probes)
         except (AttributeError, TypeError, ValueError):
             return False
 
-    def _of_letters(self, letters: bytes) -> bytes:
-        """Ids of a word of letters, or of signs, alone."""
-        ids = self.memory.get(letters) or self.older.get(letters)
+    def _of_piece(self, piece: bytes) -> bytes:
+        """Ids of small letters, or of signs, alone."""
+        ids = self.memory.get(piece) or self.older.get(piece)
         if ids is None:
-            shown = letters.lower().decode() if letters.isascii() else "".join([BYTE_SIGNS[b] for b in letters.decode().lower().encode()])
+            shown = piece.decode() if piece.isascii() else "".join([BYTE_SIGNS[b] for b in piece])
             ids = array(self.code, [t.id for t in self.tokenizer.model.tokenize(shown)]).tobytes()
-            self.memory[letters] = ids
+            self.memory[piece] = ids
         return ids
 
     def _of_pieces(self, word: bytes) -> bytes | None:
         letters = word.rstrip(SIGNS)
-        if not letters.isalpha() and not PLAIN.fullmatch(letters.decode()):  # bytes know ASCII letters only
-            return None
-        signs = word[len(letters) :]
-        return self._of_letters(letters) + self._of_letters(signs) if signs else self._of_letters(letters)
+        if letters.isalpha():  # bytes know ASCII letters only
+            small = letters.lower()
+        else:
+            shown = letters.decode()
+            if not PLAIN.fullmatch(shown):
+                return None
+            small = shown.lower().encode()
+        ids = self._of_piece(small)
+        return ids if len(letters) == len(word) else ids + self._of_piece(word[len(letters) :])
 
     def _learn(self, words: list[bytes]) -> None:
         if self.by_piece:
@@ -232,23 +243,28 @@ class WordEncoder:
     def encode(self, texts: list[bytes]) -> Iterator[np.ndarray]:
         if len(self.memory) > self.kept // 2:  # words met again move on to the new half, the others are forgotten
             self.memory, self.older = {}, self.memory
-        split = [t.split() for t in texts]
-        known = [list(map(self.memory.get, words)) for words in split]
+        split = pc.ascii_split_whitespace(pa.array(texts, pa.binary()).view(pa.string()))  # empty words beside outer blanks
+        coded = split.values.dictionary_encode()
+        words = _listed(coded.dictionary)
+        ids = list(map(self.memory.get, words))
         new = []
-        for w in {w for words, ids in zip(split, known) if None in ids for w, x in zip(words, ids) if x is None}:
+        for w in [w for w, x in zip(words, ids) if x is None]:
             if w in self.older:
                 self.memory[w] = self.older[w]
             else:
                 new.append(w)
         self._learn(new)
         memory = self.memory
-        for words, ids in zip(split, known):
-            if None in ids:
-                ids = [memory[w] if x is None else x for w, x in zip(words, ids)]
-            yield np.frombuffer(b"".join(ids), self.kind)
-
-
-    def encode_slices(self, texts: list[bytes], most: int = SLICE) -> Iterator[np.ndarray]:
+        ids = [memory[w] if x is None else x for w, x in zip(words, ids)]
+        placed = pa.array(ids, pa.binary()).take(coded.indices)
+        _, offsets, data = placed.buffers()
+        tokens = np.frombuffer(data or b"", self.kind)
+        ends = np.frombuffer(offsets, np.int32, len(placed) + 1) // tokens.itemsize
+        at = ends[split.offsets.to_numpy()]
+        for a, b in zip(at[:-1], at[1:]):
+            yield tokens[a:b]
+
+    def encode_slices(self, texts: Iterable[bytes], most: int = SLICE) -> Iterator[np.ndarray]:
         """Like ``encode``, but holds the words of about ``most`` bytes at a time; a longer text is cut between words."""
         some: list[bytes] = []
         held = 0
@@ -265,6 +281,20 @@ class WordEncoder:
             yield from self.encode(some)
 
 
+def _listed(words: pa.Array) -> list[bytes]:
+    """The words, none of which has a blank, as bytes; an array's own list is made several times slower."""
+    if not len(words):
+        return []
+    row = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(row, " ")[0].as_buffer().to_pybytes().split(b" ")
+
+
+def _each(texts: pa.Array) -> Iterator[bytes]:
+    for k in range(0, len(texts), 256):
+        for t in texts.slice(k, 256).to_pylist():
+            yield (t or "").encode()
+
+
 def _cut(text: bytes, most: int) -> Iterator[bytes]:
     """The text in pieces of ``most`` bytes and the rest of the word they end in."""
     start = 0
@@ -305,16 +335,13 @@ def _shards(vocabulary: str, end_id: int, shard_tokens: int, words_kept: int):
             return pa.RecordBatch.from_pylist([row], schema=SHARD_ARROW)
 
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1)
-            for k in range(0, len(ids), 256):
-                some = [(t or "").encode() for t in texts.slice(k, 256).to_pylist()]
-                for d, tokens in zip(ids[k : k + 256], encoder.encode_slices(some)):
-                    if held and held + len(tokens) + 1 > shard_tokens:
-                        yield close()
-                        seq, docs, pieces, held = seq + 1, [], [], 0
-                    docs.append(d)
-                    pieces.append(np.concatenate([tokens, end]))
-                    held += len(tokens) + 1
+            for d, tokens in zip(batch.column(0).to_pylist(), encoder.encode_slices(_each(batch.column(1)))):
+                if held and held + len(tokens) + 1 > shard_tokens:
+                    yield close()
+                    seq, docs, pieces, held = seq + 1, [], [], 0
+                docs.append(d)
+                pieces.append(np.concatenate([tokens, end]))
+                held += len(tokens) + 1
         if docs:
             yield close()
 

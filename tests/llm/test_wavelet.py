@@ -85,3 +85,34 @@ def test_hard_rows(hard, whole):
 
 def test_no_rows(none):
     assert V.encoded_documents(none).count() == 0
+
+
+class Asked(dict):
+    """A dictionary that counts how often it is asked."""
+
+    times = 0
+
+    def get(self, *key):
+        self.times += 1
+        return super().get(*key)
+
+
+def test_a_word_of_a_slice_is_looked_up_once(whole):
+    texts = [" The cat  and\tthe cat, é été\n", "", None, "and and", "x" * 40] * 300
+    data = [(t or "").encode() for t in texts]
+    encoder = V.WordEncoder(PATH)
+    want = [x.tolist() for x in encoder.encode(data)]
+    assert [w + [2] for w in want] == [whole(t) for t in texts]
+    encoder.memory = Asked(encoder.memory)
+    assert [x.tolist() for x in encoder.encode(data)] == want
+    assert encoder.memory.times <= 10
+
+
+def test_words_with_closing_signs_go_by_piece(whole):
+    encoder = V.WordEncoder(PATH)
+    words = [w + s for w in ("are", "The", "ÉTÉ", "naïve", "straße") for s in ("###", "$$$", ".***", ",%%%", "&&&", "!#*$%&", "", ".")]
+    for w in words:
+        ids = encoder._of_pieces(w.encode())
+        assert ids is not None and [*map(int, np.frombuffer(ids, encoder.kind)), 2] == whole(w)
+    for w in ("", "###", "it's", "a1", "x#y", "Āa", "<|endoftext|>"):
+        assert encoder._of_pieces(w.encode()) is None
